@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom import session
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,7 +23,7 @@ _OWN: dict[str, str] = {}
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table of a data folder; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return session.table(spark, sf_dir, table)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, what: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    session.ship(spark)
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

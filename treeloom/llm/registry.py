@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.llm import hosts, mixing, sharding
+from treeloom.llm import hosts, mixing, sharding, tokens, toxicity
 
-MODULES = (mixing, hosts, sharding)
+MODULES = (toxicity, tokens, mixing, hosts, sharding)
 
 
 def queries() -> dict:
