@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.llm import hosts, mixing, sharding, tokens, toxicity
+from treeloom.llm import chat, decontaminate, hosts, mixing, pii, quality, sharding, simhash, tokens, toxicity
 
-MODULES = (toxicity, tokens, mixing, hosts, sharding)
+MODULES = (toxicity, tokens, pii, chat, mixing, hosts, quality, decontaminate, simhash, sharding)
 
 
 def queries() -> dict:
