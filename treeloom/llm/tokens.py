@@ -10,6 +10,7 @@ by text, an empty table gives an empty file set, and columns besides doc_id and
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ from treeloom.llm.common import read, shared_dir, small
 END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 1_000
-#: Words whose ids a worker keeps.
-WORDS_KEPT = 400_000
+#: Texts encoded at once, and about as many bytes of them.
+TEXTS, BYTES = 8_192, 24 << 20
 #: Marks that never join the piece of the letters before them.
 _MARKS = ".,;:!?"
+#: Letters that the normaliser leaves alone but for their case, as classes of a pattern.
+_LOWER, _UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 
 FILE_OPTIONS = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -41,67 +44,67 @@ FILE_OPTIONS = {
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct word once.
+    """Encodes batches of texts, each distinct word of a batch once.
 
     White space always ends a piece of this tokenizer, so a text's ids are those of its words in a row, and letters
-    and a mark after them are pieces of their own. A word's last id is one whose token carries the word-end suffix,
-    which cuts the ids of many words encoded as one text.
+    and a mark after them are pieces of their own. Words of plain letters skip the normaliser and the splitting
+    pattern, which leave them as they are: many are encoded as one text and cut at the ids whose token carries the
+    word-end suffix. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        self.whole = Tokenizer.from_file(path)
+        plain = json.loads(self.whole.to_str()) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self._ids([m])[0] for m in _MARKS} | {"": b""}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, letters: list[str], others: list[str]) -> None:
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        for at in range(0, len(letters), 4096):
-            groups = [letters[k : k + 64] for k in range(at, min(at + 4096, len(letters)), 64)]
-            for words, raw in zip(groups, self._ids([" ".join(g) for g in groups])):
-                cuts = ((np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
-                if len(cuts) != len(words):  # a word of several pieces
-                    self.known.update(zip(words, self._ids(words)))
-                    continue
-                begin = 0
-                for word, cut in zip(words, cuts):
-                    self.known[word] = raw[begin:cut]
-                    begin = cut
-        self.known.update(zip(others, self._ids(others)))
+        self.marks = self._ids(self.whole, list(_MARKS))
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lists(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Id lists of distinct words and of the marks after them; for each word the place of its list."""
+        plain = pc.match_substring_regex(words, f"^[{_LOWER}]+$").to_numpy(zero_copy_only=False)
+        letters, others = words.filter(pa.array(plain)).to_pylist(), words.filter(pa.array(~plain)).to_pylist()
+        found = self._ids(self.plain, [" ".join(letters[k : k + 64]) for k in range(0, len(letters), 64)])
+        values = np.concatenate([np.zeros(0, "<u4"), *found])
+        ends = np.flatnonzero(self.ends[values]) + 1
+        assert len(ends) == len(letters), "a word of plain letters is one piece"
+        rest = [*self._ids(self.whole, others), *self.marks]
+        offsets = np.concatenate([[0], ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in rest])]).astype(np.int32)
+        place = np.where(plain, np.cumsum(plain) - 1, len(letters) + np.cumsum(~plain) - 1)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([values, *rest]))), place
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, without end ids, and the offsets of the texts in them."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = lists.flatten().dictionary_encode()
+        per_text = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = per_text.flatten().dictionary_encode()
         words = coded.dictionary
-        head, tail = pc.utf8_slice_codeunits(words, 0, -1), pc.utf8_slice_codeunits(words, -1)
-        marked = pc.and_(pc.utf8_is_alpha(head), pc.is_in(tail, pa.array(list(_MARKS))))
-        keys = pc.if_else(marked, head, words).to_pylist()
-        simple = pc.or_(pc.utf8_is_alpha(words), marked).to_pylist()
-        if len(self.known) + len(keys) > 2 * WORDS_KEPT:
-            self.known.clear()
-        known = self.known
-        self._learn(list({k for k, s in zip(keys, simple) if s and k not in known}), list({k for k, s in zip(keys, simple) if not s and k not in known}))
-        missing = [k for k in keys if k not in known]  # a clearing in between
-        if missing:
-            self._learn([], list(dict.fromkeys(missing)))
-        marks = self.marks
-        ids = [known[k] + marks[m] for k, m in zip(keys, pc.if_else(marked, tail, "").to_pylist())]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lists_of = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(np.frombuffer(b"".join(ids), "<u4")))
-        indices = coded.indices.to_numpy()
-        values = lists_of.take(coded.indices).flatten().to_numpy() if len(indices) else np.zeros(0, "<u4")
-        at_word = np.concatenate([[0], np.cumsum(lengths[indices])]).astype(np.int64)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        return values, at_word[offsets - offsets[0]]
+        tail = pc.utf8_slice_codeunits(words, -1)
+        mark = pc.index_in(tail, pa.array(list(_MARKS))).fill_null(-1).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, f"^[{_LOWER}{_UPPER}]+[{_MARKS}]?$").to_numpy(zero_copy_only=False)
+        marked = plain & (mark >= 0)
+        core = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words)
+        core = pc.if_else(pa.array(plain), pc.utf8_lower(core), core).dictionary_encode()
+        lists, place = self._lists(core.dictionary)
+        # each distinct word is one list or two: its own and its mark's
+        first = np.concatenate([[0], np.cumsum(1 + marked)])
+        parts = np.empty(first[-1], np.int64)
+        parts[first[:-1]] = place[core.indices.to_numpy()]
+        parts[first[:-1][marked] + 1] = len(lists) - len(_MARKS) + mark[marked]
+        lengths = np.diff(lists.offsets.to_numpy())[parts]
+        at = np.concatenate([[0], np.cumsum(lengths)])[first].astype(np.int32)
+        of_word = pa.ListArray.from_arrays(pa.array(at), lists.take(pa.array(parts)).flatten())
+        values = of_word.take(coded.indices).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(np.diff(at)[coded.indices.to_numpy()])]).astype(np.int64)
+        offsets = per_text.offsets.to_numpy().astype(np.int64)
+        return values, ends[offsets - offsets[0]]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,8 +122,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
 
     part, before, code = TaskContext.get().partitionId(), 0, encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            rows = batch.slice(at, 4096)
+        step = max(1, min(TEXTS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            rows = batch.slice(at, step)
             values, offsets = code(rows.column("text"))
             n = rows.num_rows
             ends = offsets[1:] + np.arange(1, n + 1)  # with an end id for each text
