@@ -26,8 +26,8 @@ from treeloom.llm.common import read, shared_dir, small
 END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 1_000
-#: Texts encoded at once, and about as many bytes of them.
-TEXTS, BYTES = 8_192, 24 << 20
+#: Bytes of texts encoded at once.
+BYTES = 16 << 20
 #: Marks that never join the piece of the letters before them.
 _MARKS = ".,;:!?"
 #: Letters that the normaliser leaves alone but for their case, as classes of a pattern.
@@ -66,7 +66,8 @@ class Encoder:
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text; few texts at a time, as the library keeps strings and offsets of every token."""
+        return [np.array(e.ids, "<u4") for k in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
 
     def _lists(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
         """Id lists of distinct words and of the marks after them; for each word the place of its list."""
@@ -121,20 +122,34 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     from pyspark import TaskContext
 
     part, before, code = TaskContext.get().partitionId(), 0, encoder(path)
+    for rows in _gathered(batches):
+        values, offsets = code(rows.column("text"))
+        n = rows.num_rows
+        ends = offsets[1:] + np.arange(1, n + 1)  # with an end id for each text
+        ids = np.insert(values.astype(np.int32), offsets[1:], end)
+        starts = np.concatenate([[0], ends])
+        lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+        columns = [rows.column("doc_id"), pa.array(np.full(n, part, np.int64)), pa.array(before + starts[:-1]), pa.array(np.diff(starts)), lists]
+        made = pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local_start", "n_tokens", "ids"])
+        for at in range(0, n, 2_000):
+            yield made.slice(at, 2_000)
+        before += int(starts[-1])
+        pa.default_memory_pool().release_unused()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, put together up to BYTES: the more text at once, the fewer words are encoded again."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        step = max(1, min(TEXTS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+        step = max(1, min(batch.num_rows, batch.num_rows * BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             rows = batch.slice(at, step)
-            values, offsets = code(rows.column("text"))
-            n = rows.num_rows
-            ends = offsets[1:] + np.arange(1, n + 1)  # with an end id for each text
-            ids = np.insert(values.astype(np.int32), offsets[1:], end)
-            starts = np.concatenate([[0], ends])
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.full(n, part, np.int64)), pa.array(before + starts[:-1]), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))],
-                ["doc_id", "part", "local_start", "n_tokens", "ids"],
-            )
-            before += int(starts[-1])
+            if held and sum(x.nbytes for x in held) + rows.nbytes > BYTES:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(rows)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
@@ -160,6 +175,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, offsets = lists.values.to_numpy().astype("<u4", copy=False), lists.offsets.to_numpy()
         sums = [zlib.crc32(values[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
 
 def op2_tokens(spark, sf_dir: str) -> DataFrame:
