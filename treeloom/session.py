@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows of an Arrow batch at most: texts are long, and both sides of the pipe hold a batch in memory.
+BATCH_ROWS = 2_000
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python functions can be loaded by name."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
