@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import keep, read, small
@@ -154,14 +154,77 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return made.join(of_fp, "fp")
 
 
-def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
+    """A hash for each band and a byte for each min-hash of the text's distinct shingles."""
+    tokens = (text or "").encode().lower().split()
+    k = min(words, max(1, len(tokens)))
+    own = np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(tokens[i : i + k]), SEED) for i in range(len(tokens) - k + 1)] or [0], dtype=np.uint32))
+    least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(own), 1024):
+        mixed = own[at : at + 1024, None] * _FACTORS
+        mixed ^= mixed >> np.uint32(15)
+        least = np.minimum(least, (mixed * np.uint32(0x846CA68B) + _SHIFTS).min(0))
+    return [xxhash.xxh3_64_intdigest(least[b * DEEP : (b + 1) * DEEP].tobytes(), b) - (1 << 63) for b in range(BANDS)], (least >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
+#: Min-hashes of a sketch; the first BANDS * DEEP of them make the bands.
+HASHES, BANDS, DEEP = 128, 16, 5
+_RANDOM = np.random.RandomState(77)
+_FACTORS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = {t: (fingerprint(t, words), *sketch(t, words)) for t in set(batch.column("text").to_pylist())}
+        rows = [made[t] for t in batch.column("text").to_pylist()]
+        fps = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
+        ids = pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "id", "fp", "bands", "sketch"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
+        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance, too
+        yield pa.RecordBatch.from_arrays([x.filter(pa.array(share >= similarity)) for x in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row, texts linked from a similarity of their shingle sets on.
+
+    Three bits of SimHash reach similarities of about 0.95. For those down to 0.8, bands of min-hashes propose more
+    pairs: within a bucket each text with the least one and with the one before it. All pairs are verified by the share
+    of equal min-hashes, with a margin of one standard error.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = keep(docs.select("doc_id", "text").mapInArrow(lambda b: _sketched(b, words), f"doc_id {kind}, id long, fp long, bands array<long>, sketch binary"), "sketches")
+    texts = keep(made.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
+    of_fp = texts.groupBy("fp").agg(F.min("id").alias("id"))
+    near = links(of_fp.select("fp"))
+    first, second = of_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), of_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib"))
+    near = near.join(first, "a").join(second, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    same = texts.join(of_fp.withColumnRenamed("id", "head"), "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    banded = texts.select("id", F.posexplode("bands").alias("band", "key"))
+    window = Window.partitionBy("band", "key").orderBy("id")
+    paired = banded.withColumn("before", F.lag("id").over(window)).withColumn("head", F.first("id").over(window)).where("before IS NOT NULL")
+    pairs = paired.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "head"))).alias("b"))
+    pairs = pairs.union(near).union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    margin = (similarity * (1 - similarity) / HASHES) ** 0.5
+    edges = both.select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, similarity - margin), "a long, b long")
+    linked = components(keep(edges, "similar"))
+    rooted = keep(texts.join(linked, texts.id == linked.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return made.select("doc_id", "id").join(rooted.select("id", "root").join(heads, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group: the one whose doc_id is the component's id, one row of it."""
-    found = keep(groups(docs, words).select("doc_id", "component_id"), "groups")
-    # only the ids of what goes are joined with the texts
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(small(keep(gone, "gone")), "doc_id", "left_anti")
-    again = keep(again, "again")
+    found = keep(similar_groups(docs, words, similarity), "groups")
+    gone = keep(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
+    again = keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    left = docs.join(small(gone), "doc_id", "left_anti")
     if again.isEmpty():
         return left
     once = left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
