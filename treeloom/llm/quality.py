@@ -35,6 +35,8 @@ _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 #: Characters handled at once, and the most different ones among them that an n-gram key can hold.
 CHUNK, ALPHABET = 1 << 20, 4096
+#: Characters whose n-grams a task sums before it hands them on.
+TOGETHER = 12 << 20
 _PAD = "\x02"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -89,7 +91,7 @@ def _codes(text: str) -> np.ndarray:
 def grams(text: str) -> dict[str, int]:
     """Counts of the n-grams of ORDER characters of a text that is in form already, possibly of several texts in a row."""
     out: Counter = Counter()
-    step = CHUNK
+    step = 2 * CHUNK
     at = 0
     while at < len(text):
         codes = _codes(text[at : at + step + ORDER - 1])
@@ -109,20 +111,29 @@ def grams(text: str) -> dict[str, int]:
             for i, c in enumerate(n.tolist()):
                 out[line[i * ORDER : (i + 1) * ORDER]] += c
         at += step
-        step = CHUNK
+        step = 2 * CHUNK
     return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language and n-gram the count in a batch; an n-gram that spans two texts holds a pad inside and is left out."""
+    """Per language and n-gram the count in some texts together; an n-gram that spans two texts holds a pad inside and is left out."""
+    by: dict[str, list[str]] = {}
+    held = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, texts in by.items():
+            found = [(g, n) for g, n in grams("".join(texts)).items() if _PAD not in g.lstrip(_PAD)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([g for g, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["lang", "gram", "n"])
+
     for batch in batches:
-        by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 by.setdefault(lang or "", []).append(form(text))
-        for lang, texts in by.items():
-            found = [(g, n) for g, n in grams("".join(texts)).items() if _PAD not in g.lstrip(_PAD)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([g for g, _ in found]), pa.array([n for _, n in found], pa.int64())], ["lang", "gram", "n"])
+                held += len(text)
+                if held > TOGETHER:
+                    yield from counted()
+                    by, held = {}, 0
+    yield from counted()
 
 
 def count(docs: DataFrame) -> DataFrame:
@@ -156,17 +167,29 @@ def salt(lang: str) -> np.uint64:
 
 
 class Table:
-    """Sorted hashes with a value beside each."""
+    """Sorted hashes with a value beside each, and where the hashes of each leading bit pattern begin.
+
+    Hashes are uniform, so a pattern of one bit more than the entries need holds half an entry on average, and a
+    lookup reads one or two places.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.values = np.append(values[order], np.nan).astype(np.float32)
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), default, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], np.float32(default))
+        at = self.starts[keys >> self.shift]
+        here = self.keys[at]
+        low = np.flatnonzero(here < keys)
+        while len(low):
+            at[low] += 1
+            here[low] = self.keys[at[low]]
+            low = low[here[low] < keys[low]]
+        return np.where(here == keys, self.values[at], np.float32(default))
 
 
 class Model:
