@@ -146,14 +146,18 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     made = keep(fingerprints(docs, words), "fingerprints")
     fps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    linked = components(links(fps.select("fp")))
-    rooted = fps.join(linked, fps.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = keep(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    of_fp = _heads(fps, components(links(fps.select("fp"))), "fp")
     return made.join(of_fp, "fp")
 
 
+def _heads(items: DataFrame, linked: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of items (key, least): the least doc_id among all items of the same root."""
+    rooted = keep(items.join(linked, items[key] == linked["node"]).select(key, "least", "root"), "rooted")
+    heads = keep(rooted.groupBy("root").agg(F.min("least").alias("head")), "heads")  # components of two items at least
+    of_linked = rooted.join(small(heads), "root").select(F.col(key).alias("_key"), "head")
+    return items.join(of_linked, items[key] == F.col("_key"), "left").select(key, F.coalesce("head", "least").alias("component_id"))
+
+
 def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
     """A hash for each band and a byte for each min-hash of the text's distinct shingles."""
     tokens = (text or "").encode().lower().split()
@@ -213,10 +217,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     margin = (similarity * (1 - similarity) / HASHES) ** 0.5
     edges = both.select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, similarity - margin), "a long, b long")
-    linked = components(keep(edges, "similar"))
-    rooted = keep(texts.join(linked, texts.id == linked.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.select("doc_id", "id").join(rooted.select("id", "root").join(heads, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    of_text = _heads(texts.select("id", "least"), components(keep(edges, "similar")), "id")
+    return made.select("doc_id", "id").join(of_text, "id").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
