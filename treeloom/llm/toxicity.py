@@ -39,8 +39,10 @@ COVER = 8
 STEM = range(4, 9)
 WINDOW = 8
 QUOTED, NEAR = 0.4, 0.15
-#: A misspelled term's weight: this share of the exact one's, unless the training texts say otherwise.
-FUZZY, FUZZY_PRIOR = 0.7, 4.0
+#: A misspelled term weighs this share of the exact one. Only whole words of the highest tier that this share of the
+#: toxic texts hold count misspelled, and only if no clean training text has a word so near to them; in the score such
+#: hits are worth at least FUZZY_WORTH of exact ones, as few training texts hold any.
+FUZZY, COMMON, FUZZY_WORTH = 0.7, 0.02, 0.6
 #: Weights at which a hit counts in a higher tier, and the most that a term weighs.
 TIERS, WEIGHT_MOST = (3.0, 6.0), 8.0
 _EDGE = " \t.,;:!?()[]{}|\"'“”„«»‘’`*_#<>-–—…"
@@ -174,7 +176,7 @@ class Model:
 
     def best(self, token: str) -> tuple[int, int, float] | None:
         """(term, edits, weight) of a token's heaviest exact hit, or else of its heaviest one; None without a hit."""
-        found = [(e == 0, self.fuzzy[k] if e else self.weights[k], k, e) for k, e in self.matcher.match(token.strip(_EDGE).lower()).items()]
+        found = [(e == 0, self.fuzzy[k] if e else self.weights[k], k, e) for k, e in self.matcher.match(token.strip(_EDGE).lower()).items() if not e or self.fuzzy[k]]
         _, w, k, e = max(found, default=(True, 0.0, 0, 0))
         return (k, e, w) if found else None
 
@@ -192,7 +194,9 @@ class Model:
         return len(words), [(i, *cache[words[i]], quoted(words, i)) for i in at]
 
     def features(self, text: str) -> list[float]:
-        """For hits of each tier of weight, and for misspelled ones: log of their sum in context; then hits for each hundred words."""
+        """For exact hits of each tier of weight the log of their sum in context, their weight for each hundred words,
+        and the log of the sum of misspelled hits that weigh enough.
+        """
         n, found = self.hits(text)
         sums = [0.0] * (len(TIERS) + 2)
         places = [i for i, *_ in found]
@@ -204,9 +208,9 @@ class Model:
             while high < len(places) and places[high] <= i + WINDOW:
                 high += 1
             scaled = (QUOTED if inside else 1.0) * (1 + NEAR * min(4, high - low - 1))
-            sums[-1 if e else sum(w >= t for t in TIERS)] += scaled * (w / WEIGHT_MOST if e else 1.0)
-            total += scaled * w
-        return [math.log1p(x) for x in sums] + [math.log1p(total * 100 / n) if n else 0.0]
+            sums[-1 if e else sum(w >= t for t in TIERS)] += scaled
+            total += 0.0 if e else scaled * w
+        return [math.log1p(total * 100 / n) if n else 0.0, *(math.log1p(x) for x in sums)]
 
     def score(self, text: str) -> float:
         z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.features(text)))
@@ -296,6 +300,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
     return b.tolist()
 
 
+def raised(curve: list[float]) -> list[float]:
+    """The curve with the coefficient of misspelled hits at its least worth."""
+    return [*curve[:-1], max(curve[-1], FUZZY_WORTH * curve[-2])]
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
@@ -329,12 +338,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     seen = {0: Counter(), 1: Counter()}
     for r in sample.select("text", "toxic").mapInArrow(lambda b: _rows_of(b, misspelled), "toxic long, row array<double>").select("toxic", F.explode("row").alias("k")).groupBy("toxic", "k").count().toLocalIterator():
         seen[int(r.toxic == 1)][int(r.k)] += r["count"]
-    for k, w in enumerate(weights):
-        b, g = seen[1][k] / (nb + 1), seen[0][k] / (ng + 1)
-        prior = FUZZY_PRIOR / (nb + ng)
-        model.fuzzy[k] = max(0.0, math.log((b + prior * math.exp(FUZZY * w)) / (g + prior)))
+    for k, (t, w) in enumerate(zip(chosen, weights)):
+        common = not t[1] and in_bad[t] >= COMMON * nb
+        model.fuzzy[k] = FUZZY * w if common and w >= TIERS[-1] and not seen[0][k] else 0.0
     rows_ = [(r.toxic, r.row) for r in sample.select("text", "toxic").mapInArrow(lambda b: _rows_of(b, model.features), "toxic long, row array<double>").toLocalIterator()]
-    model.curve = logistic(np.array([x for _, x in rows_]), np.array([float(t == 1) for t, _ in rows_]))
+    model.curve = raised(logistic(np.array([x for _, x in rows_]), np.array([float(t == 1) for t, _ in rows_])))
     return model
 
 
