@@ -59,7 +59,7 @@ def _strength(rates: DataFrame) -> DataFrame:
     sums = rates.agg(F.count("*").alias("k"), F.sum(n).alias("N"), F.sum(bad).alias("B"), F.sum(n * n).alias("N2"), F.sum(F.round(bad * bad * F.lit(1_000_000.0) / n).cast("long")).alias("Q"))
     p = F.col("B") / F.col("N").cast("double")
     spread = F.col("Q").cast("double") / F.lit(1_000_000.0) - F.col("B") * p
-    rho = (spread - p * (1 - p) * (F.col("k") - 1)) / (p * (1 - p) * (F.col("N") - F.col("N2") / F.col("N").cast("double") - (F.col("k") - 1)))
+    rho = F.try_divide(spread - p * (1 - p) * (F.col("k") - 1), p * (1 - p) * (F.col("N") - F.col("N2") / F.col("N").cast("double") - (F.col("k") - 1)))
     bounded = F.when(rho.isNull() | F.isnan(rho) | (rho < 0.002), F.lit(0.002)).when(rho > 0.5, F.lit(0.5)).otherwise(rho)
     return sums.select(((1 - bounded) / bounded).alias("m"), F.coalesce(p, F.lit(0.0)).alias("p"))
 

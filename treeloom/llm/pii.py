@@ -26,7 +26,7 @@ ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}"
 IDENTITY = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+PHONE = r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{2,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 #: One pass finds all kinds; none may touch a letter or digit outside.
 FOUND = rf"(?<![A-Za-z0-9@])(?:{MAIL}|(?<![\d.]){ADDRESS}(?![.]?\d)|{DATE}|{IDENTITY}|{PHONE}|{CARD})(?![A-Za-z0-9])"
 EPOCH, DAYS_A, DAYS_B = "1900-01-01", 250, 292
