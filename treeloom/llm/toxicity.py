@@ -194,7 +194,7 @@ class Model:
         return len(words), [(i, *cache[words[i]], quoted(words, i)) for i in at]
 
     def features(self, text: str) -> list[float]:
-        """For exact hits of each tier of weight the log of their sum in context, their weight for each hundred words,
+        """Weight of all hits for each hundred words, for exact hits of each tier the log of their sum in context,
         and the log of the sum of misspelled hits that weigh enough.
         """
         n, found = self.hits(text)
@@ -209,7 +209,7 @@ class Model:
                 high += 1
             scaled = (QUOTED if inside else 1.0) * (1 + NEAR * min(4, high - low - 1))
             sums[-1 if e else sum(w >= t for t in TIERS)] += scaled
-            total += 0.0 if e else scaled * w
+            total += scaled * w
         return [math.log1p(total * 100 / n) if n else 0.0, *(math.log1p(x) for x in sums)]
 
     def score(self, text: str) -> float:
