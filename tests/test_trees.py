@@ -167,6 +167,7 @@ def test_intervals_and_round_trips(nodes):
 def test_brackets():
     meta, rows = brackets.read("((META (ID-CORPUS x.1) (URL http://a)) (S0 (NP (no ferð_mín (lemma ferð)))))")
     assert meta == {"ID-CORPUS": "x.1", "URL": "http://a"} and [(r["tag"], r["text"], r["lemma"]) for r in rows] == [("S0", None, None), ("NP", None, None), ("no", "ferð mín", "ferð")]
+    assert [r["post"] + r["depth"] for r in rows] == [3, 3, 3]  # the last node inside each
     for bad in ("(S (NP)", "(S))"):
         with pytest.raises(ValueError):
             brackets.read(bad)

@@ -44,7 +44,7 @@ def read(text: str) -> tuple[dict[str, str], list[dict]]:
         rows.append(own)
         for i, c in enumerate(lists, 1):
             walk(c, own["node"], depth + 1, i)
-        own["post"] = len(rows) - 1 - depth
+        own["post"] = len(rows) - depth
 
     top = parse(text)
     while len(top) == 1 and isinstance(top[0], list) and top[0] and isinstance(top[0][0], list):
