@@ -97,6 +97,9 @@ def test_sharding_law_and_slots(spark, odd, none):
     got = sharding.shards(odd).select("row.*", F.col("shard").alias("s"), F.col("slot").alias("k")).collect()
     assert len(got) == len(ODD) and len({(r.s, r.k) for r in got}) == len(ODD)
     assert sharding.shards(none).count() == 0
+    hot = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    slots = {(r.shard, r.slot): r.doc_id for r in sharding.shards(hot, bucket_bytes=500).select("row.doc_id", "shard", "slot").collect()}
+    assert len(slots) == 900 and Counter(slots.values())[-1] == 300  # a key of a third of all rows, over many buckets
 
 
 def test_sharding_write(spark, tmp_path):

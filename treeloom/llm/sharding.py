@@ -1,9 +1,11 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters the rows by seeded hashes: a rendezvous hash of the key picks the shard, a second hash one of the
-shard's memory-sized buckets. Pass two brings each bucket into one partition of its own, sorts it so that the outcome
-does not depend on the order of arrival, and runs Fisher-Yates over it with a seed fixed by the bucket. The law held
-is `key`: the shard depends on the key and the number of shards alone, and one more shard takes rows only into itself.
+Pass one scatters the rows by seeded hashes: a rendezvous hash of the key picks the shard, a second hash, of key and
+text, one of the shard's memory-sized buckets. Each shard has as many buckets as its own bytes ask for, so a key of
+many rows gets more of them; only rows alike in key and text stay together. Pass two brings each bucket into one
+partition of its own, sorts it so that the outcome does not depend on the order of arrival, and runs Fisher-Yates over
+it with a seed fixed by the bucket. The law held is `key`: the shard depends on the key and the number of shards
+alone, and one more shard takes rows only into itself.
 
 Defined results: a null key counts as the empty string, a null text has no bytes, an empty table gives an empty
 result, equal rows get different slots, other columns (also ones named shard or slot) are kept inside the row.
@@ -35,18 +37,23 @@ def n_bytes(text: Column) -> Column:
 
 def shards(docs: DataFrame, n: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """Rows as (row struct, shard, slot): row holds all columns of docs."""
-    total = docs.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
-    each = max(1, -(-total // (n * bucket_bytes)))
+    held = docs.select(shard_of(F.col(key), n, seed).alias("s"), n_bytes(F.col("text")).alias("b")).groupBy("s").agg(F.sum("b").alias("b"))
+    per_shard = {r.s: r.b for r in held.collect()}  # one row for each shard
+    each = [max(1, -(-per_shard.get(s, 0) // bucket_bytes)) for s in range(n)]
+    first = [sum(each[:s]) for s in range(n)]
+    of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_shard") + 1)
     text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = docs.select(F.struct(text_key.alias("_k"), F.struct(*docs.columns).alias("row")).alias("item"), F.col(key).alias("_key"))
-    rows = rows.withColumn("_shard", shard_of(F.col("_key"), n, seed))
-    rows = rows.withColumn("_bucket", (F.col("_shard") * F.lit(each) + F.pmod(F.xxhash64(F.col("item._k"), F.lit(seed), F.lit("bucket")), F.lit(each))).cast("int"))
-    buckets = rows.select("_bucket", "item").repartitionById(n * each, F.col("_bucket")).groupBy("_bucket").agg(F.shuffle(F.sort_array(F.collect_list("item")), F.lit(seed)).alias("items"))
-    out = buckets.select("_bucket", F.posexplode("items").alias("_pos", "item"))
-    out = out.select(F.col("item.row").alias("row"), F.floor(F.col("_bucket") / F.lit(each)).cast("int").alias("shard"), "_bucket", F.col("_pos").cast("long").alias("slot"))
-    if each > 1:
-        counts = keep(rows.groupBy("_bucket").count(), "shard-counts")  # a row for each bucket
-        before = Window.partitionBy(F.floor(F.col("_bucket") / F.lit(each))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_shard", shard_of(F.col("_key"), n, seed).cast("int"))
+    scattered = F.pmod(F.xxhash64(F.col("item._k"), F.col("item.row.text"), F.lit(seed), F.lit("bucket")), of_shard(each))
+    rows = rows.withColumn("_bucket", (of_shard(first) + scattered).cast("int"))
+    shuffled = F.shuffle(F.sort_array(F.collect_list("item")), F.lit(seed))
+    buckets = rows.select("_shard", "_bucket", "item").repartitionById(sum(each), F.col("_bucket")).groupBy("_bucket").agg(F.first("_shard").alias("_shard"), shuffled.alias("items"))
+    out = buckets.select("_shard", "_bucket", F.posexplode("items").alias("_pos", "item"))
+    out = out.select(F.col("item.row").alias("row"), F.col("_shard").alias("shard"), "_bucket", F.col("_pos").cast("long").alias("slot"))
+    if max(each) > 1:
+        counts = keep(rows.groupBy("_shard", "_bucket").count(), "shard-counts")  # a row for each bucket
+        before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")).alias("_start"))
         out = out.join(small(starts), F.col("_bucket") == F.col("_b"), "left").withColumn("slot", F.col("slot") + F.col("_start"))
     return out.select("row", "shard", "slot")
