@@ -405,6 +405,22 @@ def test_quality_odd_rows(odd, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_keeps_every_gram(spark, monkeypatch):
+    """However small a part of the model is, all n-grams of all languages count: scores are those of the whole model."""
+    random.seed(4)
+    rows = [(i, " ".join("".join(random.choice("abcdefgé") for _ in range(random.randint(1, 7))) for _ in range(60)), ("x", "y", None)[i % 3 if i < 30 else 0]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = quality.tables(quality.count(docs))
+    monkeypatch.setattr(quality, "GRAMS", 1000)
+    logs = quality.probabilities(quality.count(docs)).cache()
+    assert logs.count() == quality.count(docs).count() > 4000
+    model = quality.parts(logs, quality.GRAMS)
+    assert len(model) > 4 and sum(len(p.value.keys) - 1 for p in model) == logs.count()
+    got = {r.doc_id: r.log_perplexity for r in quality.judge(docs).collect()}
+    for i, text, lang in rows:
+        assert got[i] == pytest.approx(whole.score(lang or "", text), abs=1e-4)
+
+
 # ---- PII
 
 

@@ -2,10 +2,11 @@
 
 Character n-grams of all texts are counted, each task summing its own before they are shuffled. From the counts Spark
 derives a modified Kneser-Ney model: continuation counts for the lower orders, three discounts for each order and
-language, and back-off weights. The model is kept as sorted arrays of 64-bit hashes with probabilities beside them; a
-position's probability is that of the longest n-gram found, times the weights of the contexts in which it was not.
-Where the n-grams exceed GRAMS, the rarest of the highest orders are left to the back-off, which keeps the arrays
-bounded. Each language's bands lie around the quartiles of its documents' log perplexity.
+language, and back-off weights, interpolated from the lowest order up by joins. Every text that is judged was counted,
+so each of its positions has an n-gram of the highest order; all of them are kept, as sorted arrays of 64-bit hashes
+with probabilities beside them. The hashes' leading bits cut them into parts of about GRAMS entries, as many as the
+input asks for, and a task holds one part at a time. Each language's bands lie around the quartiles of its documents'
+log perplexity.
 
 Defined results: a null text has no words and fails the base rules; a null language is one of its own; texts without
 n-grams have no perplexity (null) and are judged by the base rules alone; languages with fewer than LEAST_DOCS
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from treeloom.llm.common import keep, read, small
 
 ORDER = 5
-#: Entries of the model, at most; 20 bytes each.
+#: Entries of a part of the model, about; up to 28 bytes each.
 GRAMS = 4_000_000
 #: Bands: this many interquartile ranges beyond the quartiles, and this far from the median at least.
 SPREAD, MARGIN = 4.0, 0.5
@@ -176,7 +177,7 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys = np.append(keys[order], np.uint64(2**64 - 1))
-        self.values = np.append(values[order], np.nan).astype(np.float32)
+        self.values = np.append(values[order], np.float32(np.nan)).astype(np.float32)
         bits = len(keys).bit_length() + 1
         self.shift = np.uint64(64 - bits)
         self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
@@ -237,15 +238,14 @@ def _hashes_at(codes: np.ndarray, starts: np.ndarray, n: int, own: np.uint64) ->
     return (key ^ (key >> np.uint64(29))) * _M2
 
 
-def tables(counts: DataFrame, most: int = GRAMS) -> Model:
-    """The model from (lang, gram, n), the counts of the highest order."""
+def levels(counts: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each order, the lowest first: (lang, gram, alpha, gamma, letters) and (lang, context, gamma, letters); from (lang, gram, n), the counts of the highest order."""
     level = keep(counts, "grams")
     every: dict[int, DataFrame] = {}
     for n in range(ORDER, 0, -1):
         every[n] = level
         if n > 1:  # continuation counts: how many different characters stand before
             level = keep(level.groupBy("lang", F.substring("gram", 2, n - 1).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    alphas, gammas, left = [], [], most
     for n in range(1, ORDER + 1):
         own = every[n]
         bins = own.where("n <= 4").groupBy("lang", "n").count().collect()  # four rows a language
@@ -255,18 +255,59 @@ def tables(counts: DataFrame, most: int = GRAMS) -> Model:
         cut = {lang: _discounts(x[1:]) for lang, x in t.items()}
         d = lambda k: F.coalesce(F.create_map(*[F.lit(v) for lang, x in cut.items() for v in (lang, x[k])])[F.col("lang")], F.lit((0.5, 1.0, 1.5)[k])) if cut else F.lit((0.5, 1.0, 1.5)[k])
         less = F.when(F.col("n") == 1, d(0)).when(F.col("n") == 2, d(1)).otherwise(d(2))
-        context = own.groupBy("lang", F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("n").alias("c"), F.sum(less).alias("cut"))
-        context = keep(context.select("lang", "context", "c", (F.col("cut") / F.col("c")).alias("gamma")), "contexts")
+        context = own.groupBy("lang", F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("n").alias("c"), F.sum(less).alias("cut"), F.count("*").alias("letters"))
+        context = keep(context.select("lang", "context", "c", (F.col("cut") / F.col("c")).alias("gamma"), "letters"), "contexts")
         joined = own.withColumn("context", F.substring("gram", 1, n - 1)).join(context, ["lang", "context"])
-        rows = joined.select("lang", "gram", F.greatest((F.col("n") - less) / F.col("c"), F.lit(0.0)).alias("alpha"), "n")
-        size = own.count() + context.count()
-        if size > left:  # the rarest go
-            at_least = own.approxQuantile("n", [max(0.0, 1 - left / size)], 0.001)[0]
-            rows, context = rows.where(F.col("n") > at_least), context.where(F.col("c") > at_least)
-        left -= min(left, size)
-        alphas.append(rows.select("lang", "gram", "alpha").toArrow())
-        gammas.append(context.select("lang", "context", "gamma").toArrow())
-    return Model(_assembled(alphas, gammas))
+        yield joined.select("lang", "gram", F.greatest((F.col("n") - less) / F.col("c"), F.lit(0.0)).alias("alpha"), "gamma", "letters"), context
+
+
+def tables(counts: DataFrame) -> Model:
+    """The model from (lang, gram, n), on the driver: for texts that were not counted, by the back-off."""
+    found = [(rows.select("lang", "gram", "alpha").toArrow(), context.select("lang", "context", "gamma").toArrow()) for rows, context in levels(counts)]
+    return Model(_assembled(*map(list, zip(*found))))
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, gram, log) of every n-gram of the highest order: the interpolation of _assembled() as joins."""
+    below = None
+    for n, (rows, _) in enumerate(levels(counts), 1):
+        if below is None:
+            p = rows.select("lang", "gram", (F.col("alpha") + F.greatest("gamma", F.lit(1e-6)) / (F.col("letters") + 1)).alias("p"))
+        else:
+            lower = below.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower"))
+            joined = rows.withColumn("tail", F.substring("gram", 2, n - 1)).join(lower, ["lang", "tail"])
+            p = joined.select("lang", "gram", (F.col("alpha") + F.greatest("gamma", F.lit(1e-9)) * F.col("lower")).alias("p"))
+        below = keep(p, "probabilities")
+    return below.select("lang", "gram", F.log(F.greatest("p", F.lit(1e-12))).cast("float").alias("log"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.zeros(batch.num_rows, np.uint64)
+        langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
+        rows = _codes("".join(batch.column("gram").to_pylist())).reshape(batch.num_rows, ORDER)
+        for lang in set(langs):
+            at = np.flatnonzero(langs == lang)
+            keys[at] = _row_hashes(rows[at], salt(lang))
+        yield pa.RecordBatch.from_arrays([pa.array(_part(keys, bits).astype(np.int32)), pa.array(keys.view(np.int64)), batch.column("log")], ["part", "key", "log"])
+
+
+def _part(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+
+
+def parts(logs: DataFrame, most: int) -> list:
+    """Broadcasts of a Table for each pattern of the hashes' leading bits, of about `most` entries; made one at a time."""
+    spark = logs.sparkSession
+    bits = max(0, (-(-logs.count() // most) - 1).bit_length())
+    rows = logs.mapInArrow(lambda b: _hashed(b, bits), "part int, key long, log float")
+    rows = keep(rows.repartitionByRange(1 << bits, "part") if bits else rows, "hashed")
+    out = []
+    for i in range(1 << bits):
+        own = rows.where(F.col("part") == i).select("key", "log").toArrow()
+        keys, values = (own.column(c).combine_chunks().to_numpy() for c in ("key", "log"))
+        out.append(spark.sparkContext.broadcast(Table(keys.view(np.uint64) << np.uint64(bits), values)))
+    return out
 
 
 def _discounts(n: list[int]) -> tuple[float, float, float]:
@@ -347,12 +388,47 @@ def _lower(below: list[Table], weights: list[Table], rows: np.ndarray, own: np.u
 # ---- the operator
 
 
-def _measured(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    own = model.value
+def scores(langs: list, texts: list, model: list) -> list[float | None]:
+    """Mean negative log probability of each text's characters, the log of its perplexity; all texts were counted."""
+    totals, found, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    bits = len(model).bit_length() - 1
+    waiting: list[tuple[int, np.ndarray]] = []
+    held = 0
+
+    def look_up() -> None:
+        keys = np.concatenate([k for _, k in waiting])
+        owner = np.repeat([i for i, _ in waiting], [len(k) for _, k in waiting])
+        part = _part(keys, bits)
+        for i, table in enumerate(model):
+            at = np.flatnonzero(part == i) if bits else slice(None)
+            logs = table.value.get(keys[at] << np.uint64(bits), np.nan)
+            if bits:
+                table.__dict__.pop("_value", None)  # one part at a time
+            totals[:] += np.bincount(owner[at], logs, len(texts))
+            found[:] += np.bincount(owner[at][~np.isnan(logs)], minlength=len(texts))
+        waiting.clear()
+
+    for i, (lang, text) in enumerate(zip(langs, texts)):
+        codes = _codes(form(text or ""))
+        sizes[i] = max(0, len(codes) - ORDER + 1)
+        for at in range(0, int(sizes[i]), CHUNK):
+            waiting.append((i, hashes(codes[at : at + CHUNK + ORDER - 1], ORDER, salt(lang or ""))))
+            held += len(waiting[-1][1])
+            if held >= 4 * CHUNK:
+                look_up()
+                held = 0
+    if waiting:
+        look_up()
+    if (found != sizes).any():
+        raise ValueError("a text holds n-grams that were not counted")
+    return [-t / n if n else None for t, n in zip(totals.tolist(), sizes.tolist())]
+
+
+def _measured(batches: Iterator[pa.RecordBatch], model: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         rules = list(zip(*map(base, texts))) or [[]] * 5
-        logs = [own.score(lang or "", t) for lang, t in zip(langs, texts)]
+        logs = scores(langs, texts, model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(x, pa.int64()) for x in rules), pa.array(logs, pa.float64())], ["doc_id", "lang", *COUNTS, "log_perplexity"])
 
 
@@ -361,9 +437,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the counts, log_perplexity, base_failed and kept for every row."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    model = spark.sparkContext.broadcast(tables(count(docs)))  # at most GRAMS entries
+    model = parts(probabilities(count(docs)), GRAMS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(lambda b: _measured(b, model), f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double")
     rows = keep(rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))), "measured")
