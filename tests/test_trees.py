@@ -112,6 +112,23 @@ def nodes(spark):
     return T.pseudo_trees(toy.annotated(spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 40"))).cache()
 
 
+def test_trees_of_every_sentence(spark):
+    """Long sentences have trees, too, coded as by hand; pattern_repeat finds them."""
+    from treeloom.plans import tree_queries
+
+    cats = ["no", "so", "fs", None, "lo", "ao"]
+    tokens = [(1, 0, i, "WORD", f"w{i}", cats[i * i % 11 % 6]) for i in range(300)] + [(1, 0, 300, "PUNCTUATION", ".", None), (1, 1, 301, "WORD", "x", "no")]
+    made = T.pseudo_trees(spark.createDataFrame([(*t, t[4]) for t in tokens], "doc_id long, sent_ix int, tok_ix int, kind string, txt string, cat string, lemma string"))
+    rows = sorted((r for r in made.collect() if r.tree == "1:0"), key=lambda r: r.pre)
+    assert made.where("tree = '1:1'").count() == 3 and [r.tok_ix for r in rows if r.text is not None] == list(range(301))
+    for i, r in enumerate(rows):
+        below = next((k for k in range(i + 1, len(rows)) if rows[k].depth <= r.depth), len(rows)) - i - 1
+        assert (r.pre, r.post) == (i + 1, i + 1 + below - r.depth)
+    every = T.pseudo_trees(toy.annotated(spark.read.parquet(f"{D}/documents.parquet")))
+    long = {r.tree for r in every.where("text IS NOT NULL").groupBy("tree").count().where("count > 12").collect()}
+    assert long & {r.tree for r in tree_queries.Q["pattern_repeat"](spark, D).collect()}
+
+
 PATTERNS = ["NP", "S-MAIN > { VP NP }", "S-MAIN > { so }", "S-MAIN >>> { no lo }", "S-MAIN > [ NP VP ]", "S-MAIN > [ NP p $ ]", "( VP | PP )", "VP > so", "S > { p }"]
 
 

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from treeloom.functions import features as X
 
 
-def pseudo_trees(tokens: DataFrame, most: int = 12) -> DataFrame:
-    """A tree for each sentence of at most `most` tokens, by fixed rules: S over NP and VP groups over tokens.
+def pseudo_trees(tokens: DataFrame, most: int | None = None) -> DataFrame:
+    """A tree for each sentence, or each of at most `most` tokens, by fixed rules: S over NP and VP groups over tokens.
 
     A verb opens a VP group and any other word after a verb an NP group; punctuation hangs below S.
     """
-    rows = tokens.where("kind <> 'P'").withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "sent_ix"))).where(F.col("n") <= most)
+    rows = tokens.where("kind <> 'P'")
+    if most is not None:
+        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "sent_ix"))).where(F.col("n") <= most)
     by = Window.partitionBy("doc_id", "sent_ix").orderBy("tok_ix")
     group = F.when(F.col("kind") == "PUNCTUATION", "p").when(F.col("cat") == "so", "VP").when(F.col("cat") == "fs", "PP").otherwise("NP")
     rows = rows.withColumn("ix", F.row_number().over(by)).withColumn("grp", group)
@@ -37,9 +39,9 @@ def pseudo_trees(tokens: DataFrame, most: int = 12) -> DataFrame:
 
 def _with_post(nodes: DataFrame) -> DataFrame:
     """post: order in which nodes are left, from pre and depth (post = pre + number of nodes below - depth)."""
-    by = Window.partitionBy("tree").orderBy("pre")
-    # the next node that is not deeper ends the subtree; depth is at most two here
-    rest = by.rowsBetween(1, Window.unboundedFollowing)
+    # the next node that is not deeper ends the subtree; depth is at most two here. From the last node on, so that the
+    # window only grows and long sentences take linear time
+    rest = Window.partitionBy("tree").orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     size = F.count("*").over(Window.partitionBy("tree"))
     nexts = [F.min(F.when(F.col("depth") <= d, F.col("pre"))).over(rest) for d in range(3)]
     end = F.when(F.col("depth") == 0, nexts[0]).when(F.col("depth") == 1, nexts[1]).otherwise(nexts[2])

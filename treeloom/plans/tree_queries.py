@@ -33,8 +33,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _nodes(spark, d):
-    return T.pseudo_trees(toy.annotated(table(spark, d, "documents")))
+def _nodes(spark, d, most: int | None = 12):
+    """Pseudo-trees of the sentences that NODES has; None for those of every sentence."""
+    return T.pseudo_trees(toy.annotated(table(spark, d, "documents")), most)
 
 
 #: The pseudo-trees of the library as CTEs.
@@ -172,7 +173,7 @@ def _(spark, d):
 
 @query("pattern_repeat")
 def _(spark, d):
-    return M.interpret(_nodes(spark, d), "S-MAIN > [ NP+ VP .* p $ ]")
+    return M.interpret(_nodes(spark, d, None), "S-MAIN > [ NP+ VP .* p $ ]")
 
 
 # ---- grammar
