@@ -433,6 +433,25 @@ def test_feistel_is_a_permutation(spark):
     assert pairs.distinct().count() == 26 * 26 and pairs.where(~F.col("p").rlike("^[a-z]{2}$")).count() == 0
 
 
+def test_long_values_are_permuted_whole(spark):
+    """No tail stays, each change reaches every block, and different values stay different."""
+    base = "abcdefghijklmnopqrstuvwxyz" * 2 + "tail"
+    rows = [(base, "1" * 70), ("b" + base[1:], "2" + "1" * 69), (base[:-1] + "m", "1" * 69 + "2"), (base[:24], "1" * 34), (base[:24] + "a", "1" * 35)]
+    values = spark.createDataFrame(rows, "a string, d string")
+    got = [(r.a, r.p, r.d, r.q) for r in values.select("a", pii.letters(F.col("a"), "k").alias("p"), "d", pii.digits(F.col("d"), "k", "t").alias("q")).collect()]
+    for a, p, d, q in got:
+        assert len(p) == len(a) and p.isalpha() and len(q) == len(d) and q.isdigit()
+    for own, size in ((1, 24), (3, 34)):
+        blocks = [[g[own][i : i + size] for i in range(0, len(g[own]), size)] for g in got[:3]]
+        assert all(len({b[k] for b in blocks}) == 3 for k in range(2))
+    assert got[0][1][24:] != base[24:] and got[0][3][34:] != "1" * 36
+    ends = spark.range(260).select(F.concat(F.lit("x" * 23), F.char(F.col("id") % 26 + 97), F.char(F.floor(F.col("id") / 26) + 97)).alias("v"))
+    assert ends.select(pii.letters(F.col("v"), "k").alias("p")).distinct().count() == 260
+    mail = spark.createDataFrame([("to firstname.middlename.verylongsurname@example.org now",)], "text string")
+    local = pii.pseudonymise(mail).first().text.split()[1].split("@")[0]
+    assert len(local) == 36 and not local.endswith("name") and [i for i, c in enumerate(local) if c == "."] == [9, 20]
+
+
 def luhn(number):
     d = [int(c) for c in number if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0

@@ -33,13 +33,13 @@ EPOCH, DAYS_A, DAYS_B = "1900-01-01", 250, 292
 KINDS = ("mail", "address", "date", "identity", "card", "phone")
 
 
-def _digest(key: str, kind: str, round_: Column, other: Column, size: Column) -> Column:
+def _digest(key: str, kind: str | Column, round_: Column, other: Column, size: Column) -> Column:
     """A keyed number below 2^60 for one round."""
     line = F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), size.cast("string"), other.cast("string"))
     return F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str, size: Column) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str | Column, size: Column) -> Column:
     """The struct (l, r) that the pair (left, right) of Z_a x Z_b is mapped to, one to one."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     even = lambda s, i: F.struct(F.pmod(s["l"] + F.pmod(_digest(key, kind, i, s["r"], size), a), a).alias("l"), s["r"].alias("r"))
@@ -51,26 +51,50 @@ def _power(base: int, n: Column) -> Column:
     return F.pow(F.lit(float(base)), n).cast("long")
 
 
+def _in_blocks(value: Column, size: int, kind: str, one) -> Column:
+    """value with its blocks of at most `size` characters permuted by one(block, kind), one after the other.
+
+    The kind of a block among several holds its place and all other blocks as they are then, so each character of the
+    result depends on the whole value; from the last block back, every step can be undone.
+    """
+
+    def step(s: Column, i: Column) -> Column:
+        head, block, tail = F.substring(s, F.lit(1), i * size), F.substring(s, i * size + 1, F.lit(size)), F.substring(s, (i + 1) * size + 1, F.length(s))
+        own = F.when(F.length(s) > size, F.concat_ws("|", F.lit(kind), i.cast("string"), head, tail)).otherwise(F.lit(kind))
+        return F.concat(head, one(block, own), tail)
+
+    last = F.greatest(F.floor((F.length(value) - 1) / F.lit(size)).cast("int"), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), last), value, step)
+
+
 def digits(value: Column, key: str, kind: str) -> Column:
-    """A string of up to 34 digits permuted among the strings of its length; longer ones in their first 34 digits."""
-    n = F.least(F.length(value), F.lit(34))
+    """A string of digits permuted among the strings of its length, in blocks of 34."""
+    return _in_blocks(value, 34, kind, lambda block, own: _digits(block, key, own))
+
+
+def _digits(value: Column, key: str, kind: Column) -> Column:
+    n = F.length(value)
     half = F.floor((n + F.lit(1)) / F.lit(2)).cast("int")
     left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, n - half)
     got = feistel(left.cast("long"), F.coalesce(F.nullif(right, F.lit("")).cast("long"), F.lit(0)), _power(10, half), F.greatest(_power(10, n - half), F.lit(1)), key, kind, n)
-    return F.concat(F.lpad(got["l"].cast("string"), half, F.lit("0")), F.when(n > half, F.lpad(got["r"].cast("string"), n - half, F.lit("0"))).otherwise(F.lit("")), F.substring(value, n + 1, F.length(value)))
+    return F.concat(F.lpad(got["l"].cast("string"), half, F.lit("0")), F.when(n > half, F.lpad(got["r"].cast("string"), n - half, F.lit("0"))).otherwise(F.lit("")))
 
 
 def letters(value: Column, key: str) -> Column:
-    """A string of up to 24 letters a-z permuted among the strings of its length; longer ones in their first 24."""
-    n = F.least(F.length(value), F.lit(24))
+    """A string of letters a-z permuted among the strings of its length, in blocks of 24."""
+    return _in_blocks(value, 24, "letters", lambda block, own: _letters(block, key, own))
+
+
+def _letters(value: Column, key: str, kind: Column) -> Column:
+    n = F.length(value)
     half = F.floor((n + F.lit(1)) / F.lit(2)).cast("int")
     # a -> 0 ... z -> p in base 26, as conv() writes it
     plain, coded = "abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOP"
     number = lambda text: F.coalesce(F.conv(F.nullif(F.translate(text, plain, coded), F.lit("")), 26, 10).cast("long"), F.lit(0))
     text = lambda x, k: F.translate(F.lpad(F.conv(x.cast("string"), 10, 26), k, F.lit("0")), coded, plain)
     left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, n - half)
-    got = feistel(number(left), number(right), _power(26, half), F.greatest(_power(26, n - half), F.lit(1)), key, "letters", n)
-    return F.concat(text(got["l"], half), F.when(n > half, text(got["r"], n - half)).otherwise(F.lit("")), F.substring(value, n + 1, F.length(value)))
+    got = feistel(number(left), number(right), _power(26, half), F.greatest(_power(26, n - half), F.lit(1)), key, kind, n)
+    return F.concat(text(got["l"], half), F.when(n > half, text(got["r"], n - half)).otherwise(F.lit("")))
 
 
 def fill(mask: Column, own: Column, pattern: str) -> Column:
