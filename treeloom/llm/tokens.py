@@ -21,13 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import read, shared_dir, small
+from treeloom.llm.common import arrow, read, shared_dir, small
 
 END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 1_000
 #: Bytes of texts encoded at once.
-BYTES = 16 << 20
+BYTES = 12 << 20
 #: Marks that never join the piece of the letters before them.
 _MARKS = ".,;:!?"
 #: Letters that the normaliser leaves alone but for their case, as classes of a pattern.
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) ->
     """Encode docs (doc_id, text) and write (doc_id, part, local_start, n_tokens, ids) in ascending doc_id order."""
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = ordered.mapInArrow(lambda batches: _encode(batches, vocabulary, end), f"doc_id {kind}, part long, local_start long, n_tokens long, ids array<int>")
+    rows = arrow(ordered, lambda batches: _encode(batches, vocabulary, end), f"doc_id {kind}, part long, local_start long, n_tokens long, ids array<int>")
     rows.write.options(**FILE_OPTIONS).parquet(path)
 
 
@@ -183,7 +183,7 @@ def op2_tokens(spark, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read_tokens(spark, path).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow(read_tokens(spark, path), _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 QUERIES = {"op2_tokens": op2_tokens}
