@@ -8,9 +8,13 @@ spanning forest leave it. Buckets above BUCKET members are cut finer first: of t
 agree, and so on for the parts that remain, which bounds a bucket by its free bits whatever the input. Copies share a
 fingerprint and are linked once.
 
+similar_groups() serves the pipeline: five-word shingles, linked from a Jaccard similarity of 0.8 on. Three bits reach
+similarities of about 0.95, so bands of min-hashes propose more pairs; see there.
+
 Defined results: a text without words (null, empty) has fingerprint zero and links like any other; a text of fewer
-words than a shingle is one shingle; null doc_ids never become a component's id while another is there; an empty table
-gives an empty result; other columns are ignored.
+words than a shingle is one shingle; null doc_ids never become a component's id while another is there; repeated
+doc_ids are rows of their own; an empty table gives an empty result; other columns are ignored, or carried along where
+documents are returned.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import keep, read, small
+from treeloom.llm.common import HOT_ROWS, arrow, joined, keep, read, small
 from treeloom.llm.components import components
 
 BITS = 3
@@ -31,6 +35,8 @@ WORDS = 3
 SEED = 42
 #: Members up to which a bucket is verified as it is.
 BUCKET = 4_096
+#: Fingerprints that a task turns into signatures, 64 each.
+EXPLODED = 4_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -59,7 +65,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row, fp as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _fingerprints(b, words), f"doc_id {kind}, fp long")
+    return arrow(docs.select("doc_id", "text"), lambda b: _fingerprints(b, words), f"doc_id {kind}, fp long")
 
 
 def forest(members: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -91,7 +97,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _edges(rows: DataFrame) -> DataFrame:
     """Edges within the buckets of (key, fp)."""
     buckets = rows.groupBy("key").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1).select("members")
-    return buckets.mapInArrow(_forests, "a long, b long")
+    return arrow(buckets, _forests, "a long, b long")
 
 
 def _segments():
@@ -112,6 +118,7 @@ def _parts(bits: list[int], depth: int) -> list[list[int]]:
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints linked by chains of at most BITS differing bits."""
+    fps = fps.repartition(1 + fps.count() // EXPLODED)  # a row becomes 64: tasks by what comes out of them
     high, low = _segments()
     wiped = lambda s, part, b: F.lit((s << 5) + b).cast("long") * (1 << 32) + part.bitwiseAND(F.lit(((1 << 32) - 1) ^ (1 << b)))
     keys = F.array(*[wiped(s, part, b) for s, part in ((0, high), (1, low)) for b in range(32)])
@@ -145,24 +152,48 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     made = keep(fingerprints(docs, words), "fingerprints")
-    fps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    of_fp = _heads(fps, components(links(fps.select("fp"))), "fp")
-    return made.join(of_fp, "fp")
+    fps = keep(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fps")
+    of_fp = _heads(fps, components(links(fps.select("fp"))), "fp", F.col("least"))
+    return joined(made, of_fp.withColumnRenamed("head", "component_id"), "fp", fps.where(F.col("n") >= HOT_ROWS).select("fp", "n"))
 
 
-def _heads(items: DataFrame, linked: DataFrame, key: str) -> DataFrame:
-    """(key, component_id) of items (key, least): the least doc_id among all items of the same root."""
-    rooted = keep(items.join(linked, items[key] == linked["node"]).select(key, "least", "root"), "rooted")
+def _heads(items: DataFrame, linked: DataFrame, key: str, least: Column) -> DataFrame:
+    """(key, head) of all items: the least value among all items of the same root."""
+    rooted = keep(items.join(linked, items[key] == linked["node"]).select(key, least.alias("least"), "root"), "rooted")
     heads = keep(rooted.groupBy("root").agg(F.min("least").alias("head")), "heads")  # components of two items at least
-    of_linked = rooted.join(small(heads), "root").select(F.col(key).alias("_key"), "head")
-    return items.join(of_linked, items[key] == F.col("_key"), "left").select(key, F.coalesce("head", "least").alias("component_id"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+    of_linked = joined(rooted.select(key, "root"), heads, "root", sizes).select(F.col(key).alias("_key"), "head")
+    return items.join(of_linked, items[key] == F.col("_key"), "left").select(key, F.coalesce("head", least).alias("head"))
 
 
-def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
-    """A hash for each band and a byte for each min-hash of the text's distinct shingles."""
+# ---- texts alike by their shingles
+
+#: Min-hashes of a sketch; the first BANDS * DEEP of them make the bands. At a similarity of 0.8 a pair shares a band
+#: with a chance of 1 - (1 - 0.8^5)^16 = 0.998.
+HASHES, BANDS, DEEP = 128, 16, 5
+#: Standard errors below the similarity down to which a pair's sketches may agree and the pair still be verified.
+ERRORS = 3.5
+#: Members up to which a bucket whose first forest was broken has all its pairs verified at once.
+FEW = 256
+_RANDOM = np.random.RandomState(77)
+_FACTORS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes; a text of fewer words is one shingle."""
     tokens = (text or "").encode().lower().split()
     k = min(words, max(1, len(tokens)))
-    own = np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(tokens[i : i + k]), SEED) for i in range(len(tokens) - k + 1)] or [0], dtype=np.uint32))
+    line = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens], dtype=np.int64) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(line)
+    return np.unique(np.array([digest(view[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())] or [0], dtype=np.uint64))
+
+
+def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
+    """A hash for each band and a byte for each min-hash of the text's distinct shingles."""
+    own = shingles(text, words).astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(own), 1024):
         mixed = own[at : at + 1024, None] * _FACTORS
@@ -171,66 +202,193 @@ def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
     return [xxhash.xxh3_64_intdigest(least[b * DEEP : (b + 1) * DEEP].tobytes(), b) - (1 << 63) for b in range(BANDS)], (least >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-#: Min-hashes of a sketch; the first BANDS * DEEP of them make the bands.
-HASHES, BANDS, DEEP = 128, 16, 5
-_RANDOM = np.random.RandomState(77)
-_FACTORS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32)
-
-
 def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = {t: (fingerprint(t, words), *sketch(t, words)) for t in set(batch.column("text").to_pylist())}
-        rows = [made[t] for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        made = {t: (fingerprint(t, words), *sketch(t, words)) for t in set(texts)}
+        rows = [made[t] for t in texts]
         fps = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
-        ids = pa.array([xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column("text").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "id", "fp", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "id", "fp", "bands", "sketch"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
-        share = ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)  # bytes agree by chance, too
-        yield pa.RecordBatch.from_arrays([x.filter(pa.array(share >= similarity)) for x in (batch.column("a"), batch.column("b"))], ["a", "b"])
+        good = []
+        for a, b in zip(batch.column("sa"), batch.column("sb")):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+            both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
+            good.append(both >= similarity * (len(a) + len(b) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
+
 
+def best_links(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, least: int, forests: int) -> list[tuple[int, int]]:
+    """Pairs of one bucket to be verified: spanning forests of the most alike members, by equal min-hashes.
+
+    Members of one root are connected already. Each forest is a maximal one over pairs that agree in `least` bytes at
+    least; the next one is made without the pairs of those before. If each pair that is alike is connected by pairs
+    at least as alike, the first forest has all that is needed; where verification fails, the later ones tell the rest
+(of a bucket of at most FEW members, all pairs).
+    """
+    m = len(ids)
+    alike = np.empty((m, m), np.uint8)
+    for i in range(m):
+        alike[i] = (sketches == sketches[i]).sum(1)
+    alike[roots[:, None] == roots[None, :]] = 255
+    np.fill_diagonal(alike, 0)
+    if forests > 1 and m <= FEW:
+        at = np.argwhere(np.triu((alike >= least) & (alike < 255)))
+        return [(max(a, b), min(a, b)) for a, b in ids[at].tolist()]
+    out = []
+    for _ in range(forests):
+        best, via, left = np.zeros(m, np.int16), np.zeros(m, np.int64), np.ones(m, bool)
+        fresh = []
+        for _ in range(m):
+            at = int(np.argmax(np.where(left, best, -1)))
+            left[at] = False
+            if least <= best[at] < 255:
+                fresh.append((at, int(via[at])))
+            closer = left & (alike[at] > best)
+            best[closer], via[closer] = alike[at][closer], at
+        out += fresh
+        if not fresh:
+            break
+        for i, j in fresh:
+            alike[i, j] = alike[j, i] = 0
+    return [(max(a, b), min(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for i, j in out)]
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row, texts linked from a similarity of their shingle sets on.
 
-    Three bits of SimHash reach similarities of about 0.95. For those down to 0.8, bands of min-hashes propose more
-    pairs: within a bucket each text with the least one and with the one before it. All pairs are verified by the share
-    of equal min-hashes, with a margin of one standard error.
+def _proposed(batches: Iterator[pa.RecordBatch], least: int, forests: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, a, b = [], [], []
+        for key, members in zip(batch.column("key"), batch.column("members")):
+            rows = members.values
+            ids, roots = rows.field("id").to_numpy(), rows.field("root").to_numpy()
+            order = np.argsort(ids)
+            sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+            for x, y in best_links(ids[order], roots[order], sketches[order], least, forests):
+                keys.append(key.as_py())
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], ["key", "a", "b"])
+
+
+def _propose(crowded: DataFrame, texts: DataFrame, roots: DataFrame, least: int, forests: int, block: int) -> DataFrame:
+    """(key, a, b), b < a, from the buckets (key, id, n).
+
+    A bucket of more than `block` members is cut into blocks by a hash. At first (one forest) its least member is in
+    every block; later each pair of blocks is a bucket, so that every two members meet.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
+    if forests == 1:
+        places = F.when(F.col("id") == F.col("head"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("i"), i.alias("j")))).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))
+    else:
+        places = F.when(blocks == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != own), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))))
+    rows = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = rows.select("key", "id", "root", F.explode(places).alias("place")).join(texts.select("id", "sketch"), "id")
+    buckets = rows.groupBy("key", "place").agg(F.collect_list(F.struct("id", "root", "sketch")).alias("members")).where(F.size("members") > 1)
+    return arrow(buckets.select("key", "members"), lambda b: _proposed(b, least, forests), "key long, a long, b long")
+
+
+def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """Verified pairs (a, b) that connect the alike texts; see similar_groups()."""
+    least = max(1, int(HASHES * (similarity - ERRORS * (similarity * (1 - similarity) / HASHES) ** 0.5)))
+    banded = texts.select("id", F.explode("bands").alias("key"))
+    sizes = keep(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1"), "buckets")
+    crowded = keep(banded.join(sizes, "key"), "crowded")
+    roots = texts.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+    good = tested = None
+    forests = 1
+    while True:
+        found = keep(_propose(crowded, texts, roots, least, forests, block), "proposed")
+        pairs = found.select("a", "b").distinct()
+        pairs = pairs.union(near).distinct() if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "pairs")
+        if pairs.isEmpty():
+            return good if good is not None else pairs
+        fresh = keep(_verify(pairs, texts, docs, words, similarity), "verified")
+        own = fresh.where("good").select("a", "b")
+        tested, good = (fresh.select("a", "b"), own) if tested is None else (tested.union(fresh.select("a", "b")), good.union(own))
+        if not own.isEmpty():
+            roots = keep(components(good), "roots")
+        # what is left: buckets of which a pair failed, and large ones whose blocks have not all met; the small ones
+        # have had all their pairs verified in the second round
+        failed = found.join(fresh.where("not good"), ["a", "b"]).select("key")
+        if forests > 1:
+            failed = failed.join(crowded.where(F.col("n") > FEW), "key", "left_semi")
+        cut = crowded.where(F.col("n") > block).join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy("key").agg(F.count_distinct(F.coalesce("root", "id")).alias("r")).where("r > 1").select("key")
+        again = keep(failed.union(cut).distinct(), "again")
+        if again.isEmpty():
+            return good
+        crowded = keep(crowded.join(small(again), "key", "left_semi"), "crowded")
+        forests *= 8
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b, good): whether the shingle sets of each pair have the similarity. Only texts of pairs are split again, one row of each."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = keep(texts.join(ends, "id").select(F.col("id").alias("_i"), F.col("least.doc_id").alias("_d")), "ends")
+    bodies = docs.select(F.col("doc_id").alias("_doc"), text_id(F.col("text")).alias("id"), "text")
+    bodies = bodies.join(small(ends), (F.col("id") == F.col("_i")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
+    sets = arrow(bodies.select("id", "text"), lambda b: _shingled(b, words), "id long, shingles binary")
+    sets = keep(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    out = pairs
+    for end, name in (("a", "sa"), ("b", "sb")):
+        often = out.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+        out = joined(out, sets.select(F.col("id").alias(end), F.col("shingles").alias(name)), end, often)
+    return arrow(out.select("a", "b", "sa", "sb"), lambda b: _verified(b, similarity), "a long, b long, good boolean")
+
+
+def text_id(text: Column) -> Column:
+    """Equal texts have equal ids; null counts as the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = BUCKET // 2) -> DataFrame:
+    """(doc_id, id, component_id, head) of every row; head is the struct (none, doc_id, id) of the row that stands for it.
+
+    Texts are linked from a Jaccard similarity of their shingle sets on, each link verified by the sets themselves.
+    Pairs are proposed by the deletion-variant signatures (three bits of SimHash) and by bands of min-hashes. In a
+    bucket all members are compared by their sketches, but only spanning forests are verified: no pair that shares a
+    band is lost unless its sketches agree ERRORS standard errors less than its similarity. Where verification breaks
+    a forest, more of them follow until nothing is left to verify.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = keep(docs.select("doc_id", "text").mapInArrow(lambda b: _sketched(b, words), f"doc_id {kind}, id long, fp long, bands array<long>, sketch binary"), "sketches")
-    texts = keep(made.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "texts")
-    of_fp = texts.groupBy("fp").agg(F.min("id").alias("id"))
+    rows = docs.select("doc_id", text_id(F.col("text")).alias("id"), "text")
+    rows = keep(arrow(rows, lambda b: _sketched(b, words), f"doc_id {kind}, id long, fp long, bands array<long>, sketch binary"), "sketches")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
+    texts = keep(rows.groupBy("id").agg(F.min(own).alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))), "texts")
+    of_fp = keep(texts.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct-fps")
     near = links(of_fp.select("fp"))
     first, second = of_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), of_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib"))
     near = near.join(first, "a").join(second, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
-    same = texts.join(of_fp.withColumnRenamed("id", "head"), "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    banded = texts.select("id", F.posexplode("bands").alias("band", "key"))
-    window = Window.partitionBy("band", "key").orderBy("id")
-    paired = banded.withColumn("before", F.lag("id").over(window)).withColumn("head", F.first("id").over(window)).where("before IS NOT NULL")
-    pairs = paired.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("before", "head"))).alias("b"))
-    pairs = pairs.union(near).union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    margin = (similarity * (1 - similarity) / HASHES) ** 0.5
-    edges = both.select("a", "b", "sa", "sb").mapInArrow(lambda b: _alike(b, similarity - margin), "a long, b long")
-    of_text = _heads(texts.select("id", "least"), components(keep(edges, "similar")), "id")
-    return made.select("doc_id", "id").join(of_text, "id").select("doc_id", "component_id")
+    same = joined(texts.select("id", "fp"), of_fp.select("fp", F.col("id").alias("head")), "fp", of_fp.where(F.col("n") >= HOT_ROWS).select("fp", "n")).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    near = keep(near.union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near")
+    good = _similar_links(texts, docs, near, words, similarity, block)
+    of_text = _heads(texts.select("id", "least"), components(good), "id", F.col("least"))
+    out = joined(rows.select("doc_id", "id"), of_text, "id", texts.where(F.col("n") >= HOT_ROWS).select("id", "n"))
+    return out.select("doc_id", "id", F.col("head.doc_id").alias("component_id"), "head")
 
 
 def representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group: the one whose doc_id is the component's id, one row of it."""
+    """One row of each group: the one with the least doc_id (null last, then the text's hash decides)."""
     found = keep(similar_groups(docs, words, similarity), "groups")
-    gone = keep(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    again = keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    left = docs.join(small(gone), "doc_id", "left_anti")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("id") == F.col("head.id"))
+    gone = keep(found.where(~is_head).select(F.col("doc_id").alias("_d"), F.col("id").alias("_i")).distinct(), "gone")
+    again = keep(found.where(is_head).groupBy(F.col("doc_id").alias("_d"), F.col("id").alias("_i")).count().where("count > 1").select("_d", "_i"), "again")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_doc"), text_id(F.col("text")).alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_i"))
+    left = row.join(small(gone), same, "left_anti")
     if again.isEmpty():
-        return left
-    once = left.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(small(again), "doc_id", "left_anti").unionByName(once)
+        return left.select("row.*")
+    once = left.join(small(again), same, "left_semi").groupBy("_doc", "_text").agg(F.first("row").alias("row"))
+    return left.join(small(again), same, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
