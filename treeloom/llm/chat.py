@@ -7,22 +7,30 @@ JSON-schema-like schemas, and each message is put in topological order: a call a
 after its call. The order is (anchor, depth, turn): anchor is the latest turn that must come before, depth the number
 of steps after it. Messages come out as canonical JSON: sorted keys, no blanks, UTF-8.
 
-Defined results: texts that are no such object are plain content; null or empty texts are empty content; a result
-without its call is an orphan; of repeated results for a call the first turn is linked; repeated messages are kept; a
-call in a cycle keeps the order of its turns and is counted as cyclic; a call with unknown tool or arguments that do
-not fit is invalid; an empty table gives an empty result; other columns are ignored.
+Turns of calls and what they build on make a graph for each conversation. Conversations of at most EDGES edges are
+ordered whole, each as one row; larger ones by rounds over tables, as long as anything changes.
+
+Defined results: texts that are no such object are plain content, and so are objects with NaN, infinite numbers or
+more nesting than the parser takes; lone surrogates are written as \\udXXX; null or empty texts are empty content; a
+result without its call is an orphan; of repeated results for a call the first turn is linked; repeated messages are
+kept, and each has the counts of its own calls; null conversations are one conversation, null turns come first and
+keep a null anchor; calls that lie on a cycle keep the order of their turns and are counted as cyclic, those that only
+build on one are not; a call with unknown tool or arguments that do not fit is invalid; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import drop_kept, keep, read
+from treeloom.llm.common import arrow, drop_kept, keep, read
 
 #: Schemas of the known tools: parameters by JSON schema's type, properties, required, enum, items.
 SCHEMAS: dict[str, dict] = {
@@ -30,14 +38,34 @@ SCHEMAS: dict[str, dict] = {
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
     "fetch": {"type": "object", "properties": {"url": {"type": "string"}, "method": {"type": "string", "enum": ["GET", "HEAD"]}}, "required": ["url"]},
 }
-#: Steps of the longest chain of calls followed; what remains after it is a cycle.
-CHAIN = 64
+#: Edges up to which a conversation is ordered as one row.
+EDGES = 50_000
+#: The turn that a null one counts as.
+FIRST = -(1 << 62)
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 _CALLS = "array<struct<id: string, name: string, after: array<string>, valid: boolean, error: string>>"
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def plain(text: str) -> str:
+    """text with lone surrogates, which UTF-8 cannot hold, as JSON escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError("not a JSON number")
+    return x
+
+
+def loads(text: str):
+    """JSON only: no NaN, no infinite numbers."""
+    return json.loads(text, parse_float=_finite, parse_constant=_finite)
 
 
 def fault(value, schema: dict, at: str = "$") -> str | None:
@@ -73,7 +101,8 @@ def _object(text) -> dict | None:
     if not isinstance(text, str) or not text.lstrip().startswith("{"):
         return None
     try:
-        found = json.loads(text)
+        found = loads(text)
+        canonical(found)  # nested deeper than it could be written
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, dict) else None
@@ -91,21 +120,22 @@ def parse(role: str | None, text: str | None, schemas: dict) -> tuple[str, list[
             if not isinstance(raw, dict):
                 continue
             inner = raw["function"] if isinstance(raw.get("function"), dict) else raw
-            name, given = str(inner.get("name") or ""), inner.get("arguments")
+            name, given = plain(str(inner.get("name") or "")), inner.get("arguments")
             arguments, error = given, None
             if isinstance(given, str):
                 try:
-                    arguments = json.loads(given)
+                    arguments = loads(given)
+                    canonical(arguments)
                 except (ValueError, RecursionError):
-                    error = "$: no JSON"
+                    arguments, error = given, "$: no JSON"
             arguments = {} if arguments is None else arguments
             if not error:
                 error = fault(arguments, schemas[name]) if name in schemas else f"unknown tool {name}"
             after = raw.get("after") if isinstance(raw.get("after"), list) else []
-            calls.append({"id": None if raw.get("id") is None else str(raw["id"]), "name": name, "after": [str(x) for x in after], "valid": error is None, "error": error})
+            calls.append({"id": None if raw.get("id") is None else plain(str(raw["id"])), "name": name, "after": [plain(str(x)) for x in after], "valid": error is None, "error": error and plain(error)})
             message["tool_calls"].append({"id": raw.get("id"), "type": "function", "function": {"name": name, "arguments": arguments}})
     elif found and found.get("tool_call_id") is not None:
-        answers = str(found["tool_call_id"])
+        answers = plain(str(found["tool_call_id"]))
         message = {"role": role or "", "tool_call_id": answers, "content": found.get("content") or ""}
     return canonical(message), calls, answers
 
@@ -118,53 +148,184 @@ def _parsed(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *made], ["conv_id", "turn", "role", "json", "calls", "answers"])
 
 
-def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
+# ---- order
+
+
+def on_cycles(edges: list[tuple[int, int]]) -> set[int]:
+    """Nodes that lie on a cycle: the strongly connected sets of more than one node, by Tarjan's method without recursion."""
+    nexts: dict[int, list[int]] = {}
+    for a, b in edges:
+        nexts.setdefault(a, []).append(b)
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack: list[int] = []
+    inside: set[int] = set()
+    out: set[int] = set()
+    for start in nexts:
+        if start in number:
+            continue
+        work = [(start, iter(nexts[start]))]
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        inside.add(start)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    stack.append(to)
+                    inside.add(to)
+                    work.append((to, iter(nexts.get(to, ()))))
+                    break
+                if to in inside:
+                    low[node] = min(low[node], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = []
+                    while True:
+                        own.append(stack.pop())
+                        inside.discard(own[-1])
+                        if own[-1] == node:
+                            break
+                    if len(own) > 1:
+                        out.update(own)
+    return out
+
+
+def placed(edges: list[tuple[int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(turn, anchor, depth, cyclic) of each turn that builds on another one; edges go from what is built on."""
+    cyclic = on_cycles(edges)
+    needs: dict[int, list[int]] = {}
+    users: dict[int, list[int]] = {}
+    for a, b in edges:
+        if b not in cyclic:
+            needs.setdefault(b, []).append(a)
+            users.setdefault(a, []).append(b)
+    place: dict[int, tuple[int, int]] = {}
+    open_ = {b: len(a) for b, a in needs.items()}
+    todo = [a for a in {a for a, _ in edges} | cyclic if a not in open_]
+    while todo:
+        node = todo.pop()
+        place[node] = max([(node, 0), *((place[a][0], place[a][1] + 1) for a in needs.get(node, ()))])
+        for b in users.get(node, ()):
+            open_[b] -= 1
+            if not open_[b]:
+                todo.append(b)
+    return [(t, *place[t], t in cyclic) for t in sorted({b for _, b in edges})]
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        conv, rows = [], []
+        for c, pairs in zip(batch.column("conv").to_pylist(), batch.column("pairs").to_pylist()):
+            own = placed([(p["from"], p["to"]) for p in pairs])
+            conv += [c] * len(own)
+            rows += own
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["conv", "t", "anchor", "depth", "cyclic"])
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that cannot lie on a cycle: from nodes that nothing leads to, or to nodes that lead nowhere."""
+    n = edges.count()
+    while n:
+        into, out = edges.select("conv", F.col("to").alias("from")).distinct(), edges.select("conv", F.col("from").alias("to")).distinct()
+        after = keep(edges.join(into, ["conv", "from"], "left_semi").join(out, ["conv", "to"], "left_semi").select("conv", "from", "to"), "trimmed")
+        m = after.count()
+        edges = after
+        if m == n:
+            break
+        n = m
+    return edges
+
+
+def _spread(values: DataFrame, edges: DataFrame, grow) -> DataFrame:
+    """(conv, t, v) after values have gone along the edges until nothing changes; grow(v) is what arrives, the largest stays."""
+    while True:
+        sent = values.join(edges.withColumnRenamed("from", "t"), ["conv", "t"]).select("conv", F.col("to").alias("t"), grow(F.col("v")).alias("v"))
+        after = keep(values.union(sent).groupBy("conv", "t").agg(F.max("v").alias("v")), "spread")
+        same = after.join(values, ["conv", "t", "v"], "left_anti").isEmpty()
+        values = after
+        if same:
+            return values
+
+
+def _cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(conv, t) on cycles, over tables: of the trimmed graph, colours are the largest node that reaches one, and what
+    leads back to a colour's own node within it is one strongly connected set; then the same without these sets.
+    """
+    edges, found = _trimmed(edges), None
+    while not edges.isEmpty():
+        nodes = edges.select("conv", F.explode(F.array("from", "to")).alias("t")).distinct()
+        colours = _spread(nodes.select("conv", "t", F.col("t").alias("v")), edges, lambda v: v)
+        at = lambda end, name: colours.select("conv", F.col("t").alias(end), F.col("v").alias(name))
+        inner = keep(edges.join(at("from", "a"), ["conv", "from"]).join(at("to", "b"), ["conv", "to"]).where("a = b").select("conv", "from", "to"), "inner")
+        back = inner.select("conv", F.col("to").alias("from"), F.col("from").alias("to"))
+        own = _spread(colours.where("t = v"), back, lambda v: v)
+        sizes = own.groupBy("conv", "v").count().where("count > 1").select("conv", "v")
+        cyclic = keep(own.join(sizes, ["conv", "v"], "left_semi").select("conv", "t"), "cyclic")
+        found = cyclic if found is None else found.union(cyclic)
+        done = own.select("conv", "t")
+        left = edges.join(done.withColumnRenamed("t", "from"), ["conv", "from"], "left_anti").join(done.withColumnRenamed("t", "to"), ["conv", "to"], "left_anti")
+        edges = _trimmed(keep(left.select("conv", "from", "to"), "edges"))
+    return edges.select("conv", F.col("from").alias("t")) if found is None else found
+
+
+def places(needs: DataFrame, most: int = EDGES) -> DataFrame:
+    """(conv, t, anchor, depth, cyclic) for each turn that builds on another one, from edges (conv, from, to)."""
+    sizes = needs.groupBy("conv").count()
+    large = keep(sizes.where(F.col("count") > most).select("conv"), "large")  # a share of 1 / most of the edges at most
+    rest = needs if large.isEmpty() else needs.join(large, "conv", "left_anti")
+    pairs = rest.groupBy("conv").agg(F.collect_list(F.struct("from", "to")).alias("pairs"))
+    out = arrow(pairs, _ordered, "conv string, t long, anchor long, depth long, cyclic boolean")
+    if large.isEmpty():
+        return out
+    edges = keep(needs.join(large, "conv", "left_semi").select("conv", "from", "to"), "large-edges")
+    cyclic = keep(_cyclic_nodes(edges), "cyclic")
+    open_ = edges.join(cyclic.withColumnRenamed("t", "to"), ["conv", "to"], "left_anti")
+    nodes = edges.select("conv", F.explode(F.array("from", "to")).alias("t")).distinct()
+    start = nodes.select("conv", "t", F.struct(F.col("t").alias("anchor"), F.lit(0).cast("long").alias("depth")).alias("v"))
+    at = _spread(start, open_.select("conv", "from", "to"), lambda v: F.struct(v["anchor"].alias("anchor"), (v["depth"] + 1).alias("depth")))
+    marked = at.join(cyclic.withColumn("cyclic", F.lit(True)), ["conv", "t"], "left").select("conv", "t", "v.anchor", "v.depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    return out.union(marked.join(edges.select("conv", F.col("to").alias("t")).distinct(), ["conv", "t"], "left_semi"))
+
+
+def link(messages: DataFrame, schemas: dict | None = None, most: int = EDGES) -> DataFrame:
     """One row for each message: conv_id, turn, role, anchor, depth, json, n_calls, n_linked, n_valid, n_cyclic, orphan."""
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
     schemas = SCHEMAS if schemas is None else schemas
-    rows = messages.select("conv_id", "turn", "role", "text").mapInArrow(lambda b: _parsed(b, schemas), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, json string, calls {_CALLS}, answers string")
-    rows = keep(rows, "messages")
+    rows = arrow(messages.select("conv_id", "turn", "role", "text"), lambda b: _parsed(b, schemas), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, json string, calls {_CALLS}, answers string")
+    conv = F.when(F.col("conv_id").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("conv_id").cast("string")))
+    rows = keep(rows.withColumn("conv", conv).withColumn("t", F.coalesce(F.col("turn").cast("long"), F.lit(FIRST))).withColumn("m", F.monotonically_increasing_id()), "messages")
     tools = rows.where(F.size("calls") > 0)
     results = rows.where(F.col("answers").isNotNull())
-    if tools.isEmpty() and results.isEmpty():  # nothing to link or to order
-        zero = F.lit(0).cast("long")
-        return rows.select("conv_id", "turn", "role", F.col("turn").alias("anchor"), zero.alias("depth"), "json", *(zero.alias(n) for n in ("n_calls", "n_linked", "n_valid", "n_cyclic")), F.lit(False).alias("orphan"))
-    calls = tools.select("conv_id", "turn", F.explode("calls").alias("x")).select("conv_id", "turn", "x.*")
-    owners = keep(calls.where("id IS NOT NULL").groupBy("conv_id", "id").agg(F.min("turn").alias("turn")), "calls")
-    answered = results.groupBy("conv_id", F.col("answers").alias("id")).agg(F.min("turn").alias("answered"))
-    # chains of calls: an edge from the turn that is built on to the turn that builds on it
-    needs = calls.select("conv_id", F.col("turn").alias("to"), F.explode("after").alias("id")).join(owners, ["conv_id", "id"]).select("conv_id", F.col("turn").alias("from"), "to").where("from <> to").distinct()
-    needs = keep(needs, "needs")
-    places = keep(tools.select("conv_id", "turn").distinct().select("conv_id", "turn", F.col("turn").alias("anchor"), F.lit(0).cast("long").alias("depth")), "places")
-    for step in range(CHAIN if not needs.isEmpty() else 0):
-        own = F.struct(F.col("anchor"), F.col("depth"))
-        pushed = needs.join(places, (needs.conv_id == places.conv_id) & (needs["from"] == places.turn)).select(needs.conv_id, F.col("to").alias("turn"), F.struct(F.col("anchor"), (F.col("depth") + 1).alias("depth")).alias("p"))
-        pushed = pushed.groupBy("conv_id", "turn").agg(F.max("p").alias("p"))
-        after = places.join(pushed, ["conv_id", "turn"], "left").select("conv_id", "turn", F.greatest(own, F.coalesce("p", own)).alias("p")).select("conv_id", "turn", "p.anchor", "p.depth")
-        after = keep(after, "places")
-        same = after.join(places, ["conv_id", "turn", "anchor", "depth"], "left_anti").isEmpty()
-        drop_kept(places)
-        places = after
-        if same:
-            break
-    cyclic = F.col("depth") >= CHAIN - 1
-    places = places.withColumn("cyclic", cyclic).select("conv_id", "turn", F.when(cyclic, F.col("turn")).otherwise(F.col("anchor")).alias("anchor"), F.when(cyclic, F.lit(0)).otherwise(F.col("depth")).cast("long").alias("depth"), "cyclic")
-    linked = calls.join(answered, ["conv_id", "id"], "left").groupBy("conv_id", "turn").agg(F.count("*").alias("n_calls"), F.count("answered").alias("n_linked"), F.count_if("valid").alias("n_valid"))
-    of_call = linked.join(places, ["conv_id", "turn"])
-    home = owners.join(places, ["conv_id", "turn"]).select("conv_id", F.col("id").alias("answers"), F.col("anchor").alias("call_anchor"), F.col("depth").alias("call_depth"))
-    out = rows.join(of_call, ["conv_id", "turn"], "left").join(home, ["conv_id", "answers"], "left")
+    calls = keep(tools.select("conv", "t", "m", F.explode("calls").alias("x")).select("conv", "t", "m", "x.id", "x.after").where("id IS NOT NULL OR size(after) > 0"), "calls")
+    owners = keep(calls.where("id IS NOT NULL").groupBy("conv", "id").agg(F.min("t").alias("from")), "owners")
+    answered = results.groupBy("conv", F.col("answers").alias("id")).agg(F.min("t").alias("answered"))
+    needs = calls.select("conv", F.col("t").alias("to"), F.explode("after").alias("id")).join(owners, ["conv", "id"]).select("conv", "from", "to").where("`from` <> `to`").distinct()
+    at = keep(places(keep(needs, "needs"), most), "places")
+    linked = calls.join(answered, ["conv", "id"]).groupBy("m").agg(F.count("*").alias("n_linked"))
+    home = owners.join(at.withColumnRenamed("t", "from"), ["conv", "from"], "left").select("conv", F.col("id").alias("answers"), F.coalesce("anchor", "from").alias("call_anchor"), F.coalesce("depth", F.lit(0)).cast("long").alias("call_depth"))
+    out = rows.join(linked, "m", "left").join(at, ["conv", "t"], "left").join(home, ["conv", "answers"], "left")
     is_call, is_result = F.size("calls") > 0, F.col("answers").isNotNull()
-    late = F.col("turn") > F.col("call_anchor")
+    late = F.col("t") > F.col("call_anchor")
     zero = F.lit(0).cast("long")
+    n_calls = F.size("calls").cast("long")
+    anchor = F.when(is_call, F.coalesce("anchor", "t")).when(is_result & ~late, F.col("call_anchor")).otherwise(F.col("t"))
     return out.select(
         "conv_id",
         "turn",
         "role",
-        F.when(is_call, F.col("anchor")).when(is_result & ~late, F.col("call_anchor")).otherwise(F.col("turn")).alias("anchor"),
-        F.when(is_call, F.col("depth")).when(is_result & ~late, F.col("call_depth") + 1).otherwise(zero).alias("depth"),
+        F.when(anchor != FIRST, anchor).cast(kinds["turn"]).alias("anchor"),
+        F.when(is_call, F.coalesce("depth", zero)).when(is_result & ~late, F.col("call_depth") + 1).otherwise(zero).alias("depth"),
         "json",
-        *(F.when(is_call, F.coalesce(n, zero)).otherwise(zero).alias(n) for n in ("n_calls", "n_linked", "n_valid")),
-        F.when(is_call & F.col("cyclic"), F.col("n_calls")).otherwise(zero).alias("n_cyclic"),
+        n_calls.alias("n_calls"),
+        F.coalesce("n_linked", zero).alias("n_linked"),
+        F.size(F.filter("calls", lambda x: x["valid"])).cast("long").alias("n_valid"),
+        F.when(is_call & F.col("cyclic"), n_calls).otherwise(zero).alias("n_cyclic"),
         (is_result & F.col("call_anchor").isNull()).alias("orphan"),
     )
 
