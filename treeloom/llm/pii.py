@@ -5,11 +5,17 @@ calendar, telephone numbers by their digits. A valid value is permuted within it
 over Z_a x Z_b (alternating halves, each round adds a keyed digest of the other half), so equal values get equal
 pseudonyms in every document and different ones stay different. Cards get a new Luhn digit, dates move within
 1900-01-01 to 2099-11-12 (73,000 days, 250 x 292), octets within 0 to 255, digits of telephone and identity numbers
-within the digits there, the letters and digits of an e-mail's local part among letters and digits. Mail domains,
-country codes and punctuation stay.
+within the digits there, the letters and digits of an e-mail's local part among letters and digits, capitals where
+they were. Mail domains, country codes and punctuation stay. A date is permuted as a day: two ways to write one day
+(with or without leading zeros) get one day, each in its own way. With slashes the day comes first, unless only the
+other order is a date; such a date becomes one that again reads in that order alone.
+
+The patterns are linear in the text: runs that could begin an address are entered at their start only and never
+given back, and all other repeats are bounded.
 
 Defined results: null stays null and empty stays empty, texts without such data are returned as they are, values that
-fail their validation are left alone, an empty table gives an empty result, and other columns are carried along.
+fail their validation are left alone, an empty table gives an empty result, and other columns are carried along, but
+one named _found is replaced.
 """
 
 from __future__ import annotations
@@ -17,18 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import read
+from treeloom.llm.common import free, read
 
 KEY = "pseudonym-key-1"
 ROUNDS = 8
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Steps after which a walk to a date of the wanted order ends; three in five dates are of that order.
+WALK = 64
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}(?:[A-Za-z]{2,63}|xn--[A-Za-z0-9-]{1,59})"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}"
 IDENTITY = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}"
 PHONE = r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{2,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 #: One pass finds all kinds; none may touch a letter or digit outside.
-FOUND = rf"(?<![A-Za-z0-9@])(?:{MAIL}|(?<![\d.]){ADDRESS}(?![.]?\d)|{DATE}|{IDENTITY}|{PHONE}|{CARD})(?![A-Za-z0-9])"
+FOUND = rf"(?:{MAIL}|(?<![A-Za-z0-9@])(?:(?<![\d.]){ADDRESS}(?![.]?\d)|{DATE}|{IDENTITY}|{PHONE}|{CARD}))(?![A-Za-z0-9])"
 EPOCH, DAYS_A, DAYS_B = "1900-01-01", 250, 292
 KINDS = ("mail", "address", "date", "identity", "card", "phone")
 
@@ -76,8 +84,10 @@ def _digits(value: Column, key: str, kind: Column) -> Column:
     n = F.length(value)
     half = F.floor((n + F.lit(1)) / F.lit(2)).cast("int")
     left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, n - half)
+    single = feistel(F.floor(value.cast("long") / 5), value.cast("long") % 5, F.lit(2), F.lit(5), key, kind, n)
     got = feistel(left.cast("long"), F.coalesce(F.nullif(right, F.lit("")).cast("long"), F.lit(0)), _power(10, half), F.greatest(_power(10, n - half), F.lit(1)), key, kind, n)
-    return F.concat(F.lpad(got["l"].cast("string"), half, F.lit("0")), F.when(n > half, F.lpad(got["r"].cast("string"), n - half, F.lit("0"))).otherwise(F.lit("")))
+    pair = F.concat(F.lpad(got["l"].cast("string"), half, F.lit("0")), F.when(n > half, F.lpad(got["r"].cast("string"), n - half, F.lit("0"))).otherwise(F.lit("")))
+    return F.when(n == 1, (single["l"] * 5 + single["r"]).cast("string")).otherwise(pair)
 
 
 def letters(value: Column, key: str) -> Column:
@@ -93,8 +103,10 @@ def _letters(value: Column, key: str, kind: Column) -> Column:
     number = lambda text: F.coalesce(F.conv(F.nullif(F.translate(text, plain, coded), F.lit("")), 26, 10).cast("long"), F.lit(0))
     text = lambda x, k: F.translate(F.lpad(F.conv(x.cast("string"), 10, 26), k, F.lit("0")), coded, plain)
     left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, n - half)
+    single = feistel(F.floor(number(value) / 13), number(value) % 13, F.lit(2), F.lit(13), key, kind, n)
     got = feistel(number(left), number(right), _power(26, half), F.greatest(_power(26, n - half), F.lit(1)), key, kind, n)
-    return F.concat(text(got["l"], half), F.when(n > half, text(got["r"], n - half)).otherwise(F.lit("")))
+    pair = F.concat(text(got["l"], half), F.when(n > half, text(got["r"], n - half)).otherwise(F.lit("")))
+    return F.when(n == 1, text(single["l"] * 13 + single["r"], n)).otherwise(pair)
 
 
 def fill(mask: Column, own: Column, pattern: str) -> Column:
@@ -130,11 +142,19 @@ def is_address(value: Column) -> Column:
     return value.rlike(f"^{ADDRESS}$") & F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
 
 
+_SLASH = r"^\d{1,2}/\d{1,2}/\d{4}$"
+
+
+def month_first(value: Column) -> Column:
+    """Whether a value with slashes is a date in that order alone."""
+    return value.rlike(_SLASH) & F.try_to_timestamp(value, F.lit("d/M/yyyy")).isNull() & F.try_to_timestamp(value, F.lit("M/d/yyyy")).isNotNull()
+
+
 def as_date(value: Column) -> Column:
     """The date of a value in one of the three forms, null if there is no such day."""
     iso = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
     dot = F.when(value.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_timestamp(value, F.lit("d.M.yyyy")))
-    slash = F.when(value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(value, F.lit("d/M/yyyy")))
+    slash = F.when(value.rlike(_SLASH), F.coalesce(F.try_to_timestamp(value, F.lit("d/M/yyyy")), F.try_to_timestamp(value, F.lit("M/d/yyyy"))))
     return F.coalesce(iso, dot, slash).cast("date")
 
 
@@ -148,10 +168,13 @@ def is_phone(value: Column) -> Column:
 
 
 def mail(value: Column, key: str) -> Column:
-    """Letters and digits of the local part permuted, each among their kind; letters become lower case."""
-    local = F.lower(F.substring_index(value, "@", 1))
+    """Letters and digits of the local part permuted, each among their kind; capitals stay where they are."""
+    given = F.substring_index(value, "@", 1)
+    local = F.lower(given)
     named = fill(local, letters(only(local, "[^a-z]"), key), "^[a-z]$")
-    return F.concat(fill(named, digits(only(local, "[^0-9]"), key, "mail"), "^[0-9]$"), F.lit("@"), F.lower(F.substring_index(value, "@", -1)))
+    named = fill(named, digits(only(local, "[^0-9]"), key, "mail"), "^[0-9]$")
+    cased = F.array_join(F.zip_with(F.split(given, ""), F.split(named, ""), lambda a, b: F.when(a.rlike("^[A-Z]$"), F.upper(b)).otherwise(b)), "")
+    return F.concat(F.when(given.rlike("[A-Z]"), cased).otherwise(named), F.lit("@"), F.substring_index(value, "@", -1))
 
 
 def card(value: Column, key: str) -> Column:
@@ -167,11 +190,33 @@ def address(value: Column, key: str) -> Column:
     return F.concat_ws(".", *[x.cast("string") for x in (F.floor(got["l"] / 256), got["l"] % 256, F.floor(got["r"] / 256), got["r"] % 256)])
 
 
-def date(value: Column, key: str) -> Column:
-    day = F.datediff(as_date(value), F.lit(EPOCH).cast("date"))
+def _day_after(day: Column, key: str) -> Column:
+    """The day, counted from EPOCH, that a day is mapped to."""
     got = feistel(F.floor(day / DAYS_B), F.pmod(day, F.lit(DAYS_B)), F.lit(DAYS_A), F.lit(DAYS_B), key, "date", F.lit(1))
-    new = F.date_add(F.lit(EPOCH).cast("date"), (got["l"] * DAYS_B + got["r"]).cast("int"))
-    return F.when(value.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(value.contains("."), F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return (got["l"] * DAYS_B + got["r"]).cast("int")
+
+
+def date(value: Column, key: str) -> Column:
+    """The permuted day, written as the value is: the order, the marks, and days and months below ten with or without a zero.
+
+    A date that reads with the month first alone is permuted until it is of that order again, which maps those dates
+    one to one among themselves.
+    """
+    start = F.lit(EPOCH).cast("date")
+    day = F.datediff(as_date(value), start)
+    fits = lambda x: F.dayofmonth(F.date_add(start, x)) > 12
+    walk = lambda s, _: F.when((s["n"] > 0) & fits(s["x"]), s).otherwise(F.struct(_day_after(s["x"], key).alias("x"), (s["n"] + 1).alias("n")))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(day.alias("x"), F.lit(0).alias("n")), walk)["x"]
+    swapped = month_first(value)
+    new = F.date_add(start, F.when(swapped, walked).otherwise(_day_after(day, key)))
+    bare = value.rlike(r"^(?:\d[./]|\d\d?[./]\d[./])")
+    shown = lambda padded, plain: F.when(bare, F.date_format(new, plain)).otherwise(F.date_format(new, padded))
+    return (
+        F.when(value.contains("-"), F.date_format(new, "yyyy-MM-dd"))
+        .when(value.contains("."), shown("dd.MM.yyyy", "d.M.yyyy"))
+        .when(swapped, shown("MM/dd/yyyy", "M/d/yyyy"))
+        .otherwise(shown("dd/MM/yyyy", "d/M/yyyy"))
+    )
 
 
 def phone(value: Column, key: str) -> Column:
@@ -207,18 +252,19 @@ def pseudonym(value: Column, of: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """docs with the column rewritten and _found, an array of (kind, value, pseudonym); values left alone are not in it."""
-    text = F.col(column)
+    docs = docs.drop("_found")
+    text, one, two = F.col(column), free(docs, "_values"), free(docs, "_kinds")
     has = text.rlike("[0-9@]")
     values = F.when(has, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    staged = docs.withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
-    kinds = F.transform("_values", lambda v: F.struct(v.alias("value"), kind(v).alias("kind")))
-    staged = staged.withColumn("_kinds", F.when(F.size("_values") > 0, kinds).otherwise(F.array().cast("array<struct<value: string, kind: string>>")))
-    named = F.transform("_kinds", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
-    staged = staged.withColumn("_found", F.when(F.size("_kinds") > 0, named).otherwise(F.array().cast("array<struct<kind: string, value: string, pseudonym: string>>")))
+    staged = docs.withColumn(one, F.coalesce(values, F.array().cast("array<string>")))
+    kinds = F.transform(one, lambda v: F.struct(v.alias("value"), kind(v).alias("kind")))
+    staged = staged.withColumn(two, F.when(F.size(one) > 0, kinds).otherwise(F.array().cast("array<struct<value: string, kind: string>>")))
+    named = F.transform(two, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
+    staged = staged.withColumn("_found", F.when(F.size(two) > 0, named).otherwise(F.array().cast("array<struct<kind: string, value: string, pseudonym: string>>")))
     between = F.split(text, FOUND, -1)
     joined = F.concat_ws("", F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get("_found", i)["pseudonym"], F.lit("")))))
     staged = staged.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(text))
-    return staged.withColumn("_found", F.filter("_found", lambda x: x["kind"].isNotNull())).drop("_values", "_kinds")
+    return staged.withColumn("_found", F.filter("_found", lambda x: x["kind"].isNotNull())).drop(one, two)
 
 
 def _count_of(name: str) -> Column:
