@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import keep, read
+from treeloom.llm.common import arrow, fields, free, keep, read
 
 #: Labelled documents that the model is fitted on, at most (a hash picks them, so about this many).
 TRAIN_ROWS = 24_000
@@ -39,10 +39,12 @@ COVER = 8
 STEM = range(4, 9)
 WINDOW = 8
 QUOTED, NEAR = 0.4, 0.15
-#: A misspelled term weighs this share of the exact one. Only whole words of the highest tier that this share of the
-#: toxic texts hold count misspelled, and only if no clean training text has a word so near to them; in the score such
-#: hits are worth at least FUZZY_WORTH of exact ones, as few training texts hold any.
-FUZZY, COMMON, FUZZY_WORTH = 0.7, 0.02, 0.6
+#: A misspelled term weighs this share of the exact one before any text is seen; PRIOR toxic texts stand for that
+#: guess, and the toxic and clean training texts with words so near to the term move it. In the score misspelled hits
+#: are worth at least FUZZY_WORTH of exact ones, as few training texts hold any.
+FUZZY, PRIOR, FUZZY_WORTH = 0.7, 1.0, 0.6
+#: Least weight at which a misspelled hit counts.
+FUZZY_LEAST = 1.0
 #: Weights at which a hit counts in a higher tier, and the most that a term weighs.
 TIERS, WEIGHT_MOST = (3.0, 6.0), 8.0
 _EDGE = " \t.,;:!?()[]{}|\"'“”„«»‘’`*_#<>-–—…"
@@ -194,10 +196,12 @@ class Model:
         return len(words), [(i, *cache[words[i]], quoted(words, i)) for i in at]
 
     def features(self, text: str) -> list[float]:
+        return self.features_of(*self.hits(text))
+
+    def features_of(self, n: int, found: list[tuple[int, int, int, float, bool]]) -> list[float]:
         """Weight of all hits for each hundred words, for exact hits of each tier the log of their sum in context,
-        and the log of the sum of misspelled hits that weigh enough.
+        and the log of the sum of misspelled hits.
         """
-        n, found = self.hits(text)
         sums = [0.0] * (len(TIERS) + 2)
         places = [i for i, *_ in found]
         total = 0.0
@@ -212,9 +216,14 @@ class Model:
             total += scaled * w
         return [math.log1p(total * 100 / n) if n else 0.0, *(math.log1p(x) for x in sums)]
 
+    def judge(self, text: str) -> tuple[float, int]:
+        """The score and the number of hits, from one scan of the text."""
+        n, found = self.hits(text)
+        z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.features_of(n, found)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(found)
+
     def score(self, text: str) -> float:
-        z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], self.features(text)))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.judge(text)[0]
 
 
 def quoted(words: list[str], i: int) -> bool:
@@ -247,7 +256,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) ->
 
 
 def _counts(texts: DataFrame, wanted: frozenset | None, least: int = 1) -> dict[tuple[str, bool], int]:
-    rows = texts.select("text").mapInArrow(lambda b: _count_terms(b, wanted), "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = arrow(texts.select("text"), lambda b: _count_terms(b, wanted), "term string, stem boolean, n long").groupBy("term", "stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return {(r.term, r.stem): r.n for r in rows.toLocalIterator()}
 
 
@@ -257,6 +266,11 @@ def _rows_of(batches: Iterator[pa.RecordBatch], what) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(got, pa.list_(pa.float64()))], ["toxic", "row"])
 
 
+def _mapped(texts: DataFrame, what) -> DataFrame:
+    """(toxic, row): what(text), a list of numbers, for each text."""
+    return arrow(texts.select("text", "toxic"), lambda b: _rows_of(b, what), "toxic long, row array<double>")
+
+
 def cover(texts: list[list[int]], odds: list[float], terms: list[tuple[str, bool]]) -> list[int]:
     """Indices of terms, greedily: the term that most texts still lack comes next; whole words before stems, long stems before short ones."""
     inside: dict[int, set[int]] = {}
@@ -327,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     odds = {t: lift(b, in_good.get(t, 0)) for t, b in in_bad.items()}
     terms = sorted(t for t, w in odds.items() if w >= ODDS)
     index = {t: k for k, t in enumerate(terms)}
-    own = bad.select("text", "toxic").mapInArrow(lambda b: _rows_of(b, lambda text: [float(index[t]) for t in terms_of(text) if t in index]), "toxic long, row array<double>")
+    own = _mapped(bad, lambda text: [float(index[t]) for t in terms_of(text) if t in index])
     chosen = [terms[k] for k in cover([[int(k) for k in r.row] for r in own.toLocalIterator()], [odds[t] for t in terms], terms)]
     weights = [min(odds[t], WEIGHT_MOST) for t in chosen]
     model = Model(chosen, weights, [FUZZY * w for w in weights], [0.0] * (len(TIERS) + 4))
@@ -336,33 +350,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return sorted({float(k) for _, k, e, _, _ in model.hits(text)[1] if e > 0})
 
     seen = {0: Counter(), 1: Counter()}
-    for r in sample.select("text", "toxic").mapInArrow(lambda b: _rows_of(b, misspelled), "toxic long, row array<double>").select("toxic", F.explode("row").alias("k")).groupBy("toxic", "k").count().toLocalIterator():
+    for r in _mapped(sample, misspelled).select("toxic", F.explode("row").alias("k")).groupBy("toxic", "k").count().toLocalIterator():
         seen[int(r.toxic == 1)][int(r.k)] += r["count"]
-    for k, (t, w) in enumerate(zip(chosen, weights)):
-        common = not t[1] and in_bad[t] >= COMMON * nb
-        model.fuzzy[k] = FUZZY * w if common and w >= TIERS[-1] and not seen[0][k] else 0.0
-    rows_ = [(r.toxic, r.row) for r in sample.select("text", "toxic").mapInArrow(lambda b: _rows_of(b, model.features), "toxic long, row array<double>").toLocalIterator()]
+    for k, w in enumerate(weights):
+        ratio = (seen[1][k] + PRIOR) / nb / ((seen[0][k] + PRIOR * math.exp(-FUZZY * w) * ng / nb) / ng)
+        moved = min(FUZZY * w, math.log(ratio))
+        model.fuzzy[k] = moved if moved >= FUZZY_LEAST else 0.0
+    model = Model(model.terms, model.weights, model.fuzzy, model.curve)  # without what was matched before
+    rows_ = [(r.toxic, r.row) for r in _mapped(sample, model.features).toLocalIterator()]
     model.curve = raised(logistic(np.array([x for _, x in rows_]), np.array([float(t == 1) for t, _ in rows_])))
     return model
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        scores = pa.array([model.score(t) for t in texts], pa.float64())
-        hits = pa.array([len(model.hits(t)[1]) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, scores, hits], [*batch.schema.names, "_score", "_hits"])
+        judged = [model.judge(t) for t in batch.column("text").to_pylist()]
+        made = [pa.array([s for s, _ in judged], pa.float64()), pa.array([n for _, n in judged], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _score, the probability of the toxic label, and _hits, the number of lexicon hits."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda b: _scored(b, model), f"{schema}, _score double, _hits long")
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("_score", "_hits")) -> DataFrame:
+    """docs with the probability of the toxic label and the number of lexicon hits; columns of these names are replaced."""
+    docs = docs.drop(*names)
+    return arrow(docs, lambda b: _scored(b, model, names), f"{fields(docs)}, {names[0]} double, {names[1]} long")
 
 
 def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The documents that score below the limit."""
-    return score(docs, model).where(F.col("_score") < limit).drop("_score", "_hits")
+    names = free(docs, "_score"), free(docs, "_hits")
+    return score(docs, model, names).where(F.col(names[0]) < limit).drop(*names)
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
