@@ -7,7 +7,8 @@ the limit. The outcome of a page is its row in `labels` with doc_id equal to pag
 
 Defined results: a null url or one without :// has an empty host and an empty path and shares the empty host's
 reputation; labels repeated for a page count once, as the worst; pages without labels have no outcome; without any
-label every host is allowed; other columns are ignored.
+label every host is allowed; user and port belong to the host, but not to its domain and suffix; an IP address is its
+own domain under no suffix; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from treeloom.llm.common import keep, read, small
 
 #: (rule, verdict): host and path, the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered; a fuller list, of any number of labels, can be given.
 TWO_LABELS = ("co.uk", "org.uk", "com.au", "co.jp", "com.br", "co.nz")
 LIMIT = 0.5
 Z = 1.645
@@ -34,13 +35,30 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain(name: Column) -> Column:
-    """The registered domain: the last two labels, or three under a suffix of two."""
-    return F.when(F.substring_index(name, ".", -2).isin(*TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+def bare(name: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(name, r"^.*@|:[0-9]*$", ""), r"\.$", "")
 
 
-def suffix(name: Column) -> Column:
-    return F.when(F.substring_index(name, ".", -2).isin(*TWO_LABELS), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+def _numeric(name: Column) -> Column:
+    return name.rlike(r"^[0-9.]+$|^\[")
+
+
+def suffix(name: Column, suffixes: tuple[str, ...] = TWO_LABELS) -> Column:
+    """The suffix under which a host is registered: the longest listed one, else the last label; an address has none."""
+    out = F.substring_index(name, ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        tail = F.substring_index(name, ".", -n)
+        out = F.when(tail.isin(*(s for s in suffixes if s.count(".") + 1 == n)), tail).otherwise(out)
+    return F.when(_numeric(name), F.lit("")).otherwise(out)
+
+
+def domain(name: Column, suffixes: tuple[str, ...] = TWO_LABELS) -> Column:
+    """The registered domain: the suffix and the label before it; an address is its own."""
+    labels = F.size(F.split(suffix(name, suffixes), r"\.")) + 1
+    own = F.split(name, r"\.")
+    start = F.greatest(F.size(own) - labels + 1, F.lit(1))
+    return F.when(_numeric(name), name).otherwise(F.array_join(F.slice(own, start, labels), "."))
 
 
 def rule(name: Column, at: Column, rules=RULES) -> tuple[Column, Column]:
@@ -64,10 +82,10 @@ def _strength(rates: DataFrame) -> DataFrame:
     return sums.select(((1 - bounded) / bounded).alias("m"), F.coalesce(p, F.lit(0.0)).alias("p"))
 
 
-def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z, suffixes: tuple[str, ...] = TWO_LABELS) -> DataFrame:
     """host and verdict for every host of a table (host, bad); bad is null where a page has no outcome."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = keep(hosts.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
+    hosts = keep(hosts.select("host", domain(bare(F.col("host")), suffixes).alias("domain"), suffix(bare(F.col("host")), suffixes).alias("suffix"), "n", "bad"), "hosts")
     domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = keep(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     (m1, _), (m2, _), (m3, p) = (tuple(_strength(x.where("n > 0")).first()) for x in (hosts, domains, suffixes))
@@ -79,11 +97,11 @@ def reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataF
     return hosts.join(small(of_domain), "domain").select("host", (a / s).alias("bad_share"), lower.alias("lower"), F.when(lower > limit, "block").otherwise("allow").alias("judged"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict and lower, the posterior bound of the host."""
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     worst = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
-    table = keep(reputation(urls.join(worst, "page_id", "left").select("host", "bad")), "reputation")
+    table = keep(reputation(urls.join(worst, "page_id", "left").select("host", "bad"), **options), "reputation")
     text, verdict = rule(F.col("host"), F.col("path"), rules)
     return urls.join(small(table), "host", "left").select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, F.col("judged")).alias("verdict"), F.round("lower", 9).alias("lower"))
 
@@ -100,7 +118,9 @@ def _sql_strength(table: str) -> str:
 
 
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABELS)
-_LAST = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '')"
+_LAST = lambda k: f"array_to_string(list_slice(string_split({_BARE}, '.'), -{k}, -1), '.')"
+_NUMERIC = rf"regexp_matches({_BARE}, '^[0-9.]+$|^\[')"
 _RULE = lambda give: "CASE " + " ".join(f"WHEN (host = '{r[: r.index('/')]}' OR ends_with(host, '.{r[: r.index('/')]}')) AND starts_with(path, '{r[r.index('/'):]}') THEN '{give(r, v)}'" for r, v in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))) + " ELSE {} END"
 
 OP6_SQL = f"""
@@ -108,8 +128,8 @@ WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([
            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::BIGINT) AS bad FROM labels GROUP BY doc_id),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad,
-      CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
-      CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix FROM u LEFT JOIN l USING (page_id) GROUP BY host),
+      CASE WHEN {_NUMERIC} THEN {_BARE} WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
+      CASE WHEN {_NUMERIC} THEN '' WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix FROM u LEFT JOIN l USING (page_id) GROUP BY host),
 d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY suffix),
 m1 AS {_sql_strength("h")}, m2 AS {_sql_strength("d")}, m3 AS {_sql_strength("s")},
