@@ -9,8 +9,9 @@ input asks for, and a task holds one part at a time. Each language's bands lie a
 log perplexity.
 
 Defined results: a null text has no words and fails the base rules; a null language is one of its own; texts without
-n-grams have no perplexity (null) and are judged by the base rules alone; languages with fewer than LEAST_DOCS
-measured documents have no bands; an empty table gives an empty result; other columns are ignored.
+n-grams have no perplexity (null) and are judged by the base rules alone; a language with fewer than LEAST_DOCS
+measured documents has its own median, but the widest interquartile range of the others, all of which lies on either
+side of it, and no bands if there is no other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import keep, read, small
+from treeloom.llm.common import arrow, keep, read, small
 
 ORDER = 5
 #: Entries of a part of the model, about; up to 28 bytes each.
 GRAMS = 4_000_000
-#: Bands: this many interquartile ranges beyond the quartiles, and this far from the median at least.
-SPREAD, MARGIN = 4.0, 0.5
+#: Bands: this many interquartile ranges beyond the quartiles. On the labelled rows of sf0.1 that pass the base rules,
+#: 2 rejects 54 % of those of quality 0 and 2.4 % of those of quality 1 (1.5: 66 % and 4.5 %; 3: 17 % and 1.2 %).
+SPREAD = 2.0
 LEAST_DOCS = 30
 LEAST_WORDS, REPEATED = 10, 20
 _SPACE = " \t\n\x0b\x0c\r"
@@ -139,7 +141,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) over all texts."""
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_counted, "lang string, gram string, n long")
+    rows = arrow(docs.select(F.col("lang").cast("string").alias("lang"), "text"), _counted, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -300,7 +302,7 @@ def parts(logs: DataFrame, most: int) -> list:
     """Broadcasts of a Table for each pattern of the hashes' leading bits, of about `most` entries; made one at a time."""
     spark = logs.sparkSession
     bits = max(0, (-(-logs.count() // most) - 1).bit_length())
-    rows = logs.mapInArrow(lambda b: _hashed(b, bits), "part int, key long, log float")
+    rows = arrow(logs, lambda b: _hashed(b, bits), "part int, key long, log float")
     rows = keep(rows.repartitionByRange(1 << bits, "part") if bits else rows, "hashed")
     out = []
     for i in range(1 << bits):
@@ -440,13 +442,16 @@ def judge(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     model = parts(probabilities(count(docs)), GRAMS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(lambda b: _measured(b, model), f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double")
+    rows = arrow(docs, lambda b: _measured(b, model), f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in COUNTS)}, log_perplexity double")
     rows = keep(rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))), "measured")
     sound = rows.where("not base_failed and log_perplexity is not null")
     q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    bands = sound.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    width = F.col("q")[2] - F.col("q")[0]
-    bands = bands.select(F.col("lang").alias("_lang"), F.least(F.col("q")[0] - SPREAD * width, F.col("q")[1] - MARGIN).alias("low"), F.greatest(F.col("q")[2] + SPREAD * width, F.col("q")[1] + MARGIN).alias("high"))
+    bands = sound.groupBy("lang").agg(q.alias("q"), F.count("*").alias("n"))
+    enough = F.col("n") >= LEAST_DOCS
+    width = F.when(enough, F.col("q")[2] - F.col("q")[0])
+    bands = bands.withColumn("width", F.coalesce(width, F.max(width).over(Window.partitionBy())))  # a row for each language
+    low, high = (F.when(enough, F.col("q")[k]).otherwise(F.col("q")[1] + s * F.col("width")) + s * SPREAD * F.col("width") for k, s in ((0, -1), (2, 1)))
+    bands = bands.select(F.col("lang").alias("_lang"), low.alias("low"), high.alias("high"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.join(small(bands), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("kept", ~F.col("base_failed") & inside)
 
