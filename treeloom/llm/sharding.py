@@ -8,13 +8,14 @@ it with a seed fixed by the bucket. The law held is `key`: the shard depends on
 alone, and one more shard takes rows only into itself.
 
 Defined results: a null key counts as the empty string, a null text has no bytes, an empty table gives an empty
-result, equal rows get different slots, other columns (also ones named shard or slot) are kept inside the row.
+result, equal rows get different slots, other columns (also ones named shard or slot, and maps) are kept inside the row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from treeloom.llm.common import keep, read, small
 
@@ -35,6 +36,34 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(16).cast("long")
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def ordered(value: Column, kind: DataType) -> Column:
+    """value with each map as its entries in order, so that rows can be sorted."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[ordered(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: ordered(x, kind.elementType))
+    return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), ordered(e["value"], kind.valueType).alias("value"))))
+
+
+def restored(value: Column, kind: DataType) -> Column:
+    """What ordered() was given."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[restored(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: restored(x, kind.elementType))
+    return F.map_from_entries(F.transform(value, lambda e: F.struct(e["key"].alias("key"), restored(e["value"], kind.valueType).alias("value"))))
+
+
 def shards(docs: DataFrame, n: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """Rows as (row struct, shard, slot): row holds all columns of docs."""
     held = docs.select(shard_of(F.col(key), n, seed).alias("s"), n_bytes(F.col("text")).alias("b")).groupBy("s").agg(F.sum("b").alias("b"))
@@ -43,7 +72,7 @@ def shards(docs: DataFrame, n: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, s
     first = [sum(each[:s]) for s in range(n)]
     of_shard = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_shard") + 1)
     text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(text_key.alias("_k"), F.struct(*docs.columns).alias("row")).alias("item"), F.col(key).alias("_key"))
+    rows = docs.select(F.struct(text_key.alias("_k"), F.struct(*[ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in docs.schema]).alias("row")).alias("item"), F.col(key).alias("_key"))
     rows = rows.withColumn("_shard", shard_of(F.col("_key"), n, seed).cast("int"))
     scattered = F.pmod(F.xxhash64(F.col("item._k"), F.col("item.row.text"), F.lit(seed), F.lit("bucket")), of_shard(each))
     rows = rows.withColumn("_bucket", (of_shard(first) + scattered).cast("int"))
@@ -56,6 +85,8 @@ def shards(docs: DataFrame, n: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, s
         before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")).alias("_start"))
         out = out.join(small(starts), F.col("_bucket") == F.col("_b"), "left").withColumn("slot", F.col("slot") + F.col("_start"))
+    if _has_map(docs.schema):
+        out = out.withColumn("row", restored(F.col("row"), docs.schema))
     return out.select("row", "shard", "slot")
 
 
