@@ -173,6 +173,8 @@ def _heads(items: DataFrame, linked: DataFrame, key: str, least: Column) -> Data
 HASHES, BANDS, DEEP = 128, 16, 5
 #: Standard errors below the similarity down to which a pair's sketches may agree and the pair still be verified.
 ERRORS = 3.5
+#: Members of buckets that a task compares, about.
+DEALT = 2_000
 #: Members up to which a bucket whose first forest was broken has all its pairs verified at once.
 FEW = 256
 _RANDOM = np.random.RandomState(77)
@@ -292,6 +294,7 @@ def _propose(crowded: DataFrame, texts: DataFrame, roots: DataFrame, least: int,
         places = F.when(blocks == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != own), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))))
     rows = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = rows.select("key", "id", "root", F.explode(places).alias("place")).join(texts.select("id", "sketch"), "id")
+    rows = rows.repartition(1 + crowded.count() // DEALT, "key", "place")  # few rows may be much work
     buckets = rows.groupBy("key", "place").agg(F.collect_list(F.struct("id", "root", "sketch")).alias("members")).where(F.size("members") > 1)
     return arrow(buckets.select("key", "members"), lambda b: _proposed(b, least, forests), "key long, a long, b long")
 
@@ -300,7 +303,9 @@ def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: in
     """Verified pairs (a, b) that connect the alike texts; see similar_groups()."""
     least = max(1, int(HASHES * (similarity - ERRORS * (similarity * (1 - similarity) / HASHES) ** 0.5)))
     banded = texts.select("id", F.explode("bands").alias("key"))
-    sizes = keep(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1"), "buckets")
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
+    # copies share most of their bands: of buckets with the same members one is enough
+    sizes = keep(sizes.groupBy("n", "head", "members").agg(F.min("key").alias("key")).drop("members"), "buckets")
     crowded = keep(banded.join(sizes, "key"), "crowded")
     roots = texts.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
     good = tested = None
