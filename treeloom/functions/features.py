@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 CASES = ("nf", "þf", "þgf", "ef")
 GENDERS = ("kk", "kvk", "hk")
 NUMBERS = ("et", "ft")
-VARIANTS = (
-    "nf", "þf", "þgf", "ef", "kk", "kvk", "hk", "et", "ft", "p1", "p2", "p3", "mst", "est", "esb", "evb",
-    "fst", "fvb", "fsb", "gr", "sb", "vb", "gm", "mm", "lhþt", "lhnt", "sagnb", "nh", "bh", "fh", "vh", "nt", "þt",
-    "0", "1", "2", "subj", "op", "abbrev",
-)
+# What stands in an inflection string for each variant that it can show.
+STRINGS = {
+    "nf": "NF", "þf": "ÞF", "þgf": "ÞGF", "ef": "EF", "kk": "KK", "kvk": "KVK", "hk": "HK", "et": "ET", "ft": "FT",
+    "mst": "MST", "est": "EST", "esb": "ESB", "evb": "EVB", "p1": "1P", "p2": "2P", "p3": "3P", "op": "OP", "sp": "SP",
+    "gm": "GM", "mm": "MM", "sb": "SB", "vb": "VB", "nh": "NH", "fh": "FH", "bh": "BH", "lh": "LH", "vh": "VH",
+    "nt": "NT", "sagnb": "SAGNB", "lhþt": "LHÞT", "gr": "gr", "expl": "það", "þt": "ÞT",
+}
+# Variants of terminals alone: argument counts, subjects, abbreviations.
+VARIANTS = (*STRINGS, "0", "1", "2", "subj", "abbrev", "sþf", "sþgf", "sef")
 
 
 def case_of(infl: Column, default: Column | None = None) -> Column:
@@ -26,22 +30,28 @@ def bit(variant: str) -> int:
 
 
 def mask_of(infl: Column) -> Column:
-    """A bit for each variant whose name stands in the inflection string."""
+    """A bit for each variant whose sign stands in the inflection string, so that LHÞT shows lh and þt, too."""
     out = F.lit(0).cast("long")
-    for v in VARIANTS:
-        out = out + F.when(infl.contains(v.upper()), F.lit(bit(v))).otherwise(F.lit(0))
+    for v, sign in STRINGS.items():
+        out = out + F.when(infl.contains(sign), F.lit(bit(v))).otherwise(F.lit(0))
     return out
 
 
 def variants_of(infl: Column) -> Column:
     """Names of the variants in an inflection string, in their fixed order.
 
-    Names that only occur inside longer ones are left out: past participles are not past tense, and the strong and
-    weak declensions of adjectives belong to a degree.
+    Of a past participle the past and the participle are not told besides, of a superlative not its declension, and
+    an impersonal verb has no person; the first of these three that applies is the only one.
     """
-    inside = {"þt": ("LHÞT",), "nt": ("LHNT",), "sb": ("ESB", "FSB"), "vb": ("EVB", "FVB")}
-    alone = lambda v: infl.contains(v.upper()) if v not in inside else infl.contains(v.upper()) & ~infl.rlike("|".join(inside[v]))
-    return F.array_compact(F.array(*[F.when(alone(v), F.lit(v)) for v in VARIANTS]))
+    shown = F.array_compact(F.array(*[F.when(infl.contains(s), F.lit(v)) for v, s in STRINGS.items()]))
+    told = lambda *names: F.array_except(shown, F.array(*map(F.lit, names)))
+    return (
+        F.when(infl.contains("LHÞT"), told("þt", "lh"))
+        .when(infl.contains("ESB"), told("sb"))
+        .when(infl.contains("EVB"), told("vb"))
+        .when(infl.contains("OP"), told("p1", "p2", "p3"))
+        .otherwise(shown)
+    )
 
 
 def has_all(have: Column, need: Column) -> Column:
