@@ -126,7 +126,7 @@ def substituted(nodes: DataFrame, tag: str, by: str) -> DataFrame:
 def _events(nodes: DataFrame, leaf: Column, opened: Column, closed: Column) -> DataFrame:
     """Events at (pre, 0) when a node opens and after its subtree, the deeper one first, when it closes."""
     last = F.col("post") + F.col("depth")  # the greatest pre inside the subtree
-    at = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("k"), F.when(F.col("text").isNotNull(), leaf).otherwise(opened).alias("x")), F.struct(last.alias("at"), (F.lit(100) - F.col("depth")).alias("k"), F.when(F.col("text").isNull(), closed).alias("x")))
+    at = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("k"), F.when(F.col("text").isNotNull(), leaf).otherwise(opened).alias("x")), F.struct(last.alias("at"), (F.lit(1 << 30) - F.col("depth")).alias("k"), F.when(F.col("text").isNull(), closed).alias("x")))
     return nodes.select("tree", F.explode(at).alias("e")).where("e.x IS NOT NULL")
 
 

@@ -33,14 +33,14 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _nodes(spark, d, most: int | None = 12):
-    """Pseudo-trees of the sentences that NODES has; None for those of every sentence."""
-    return T.pseudo_trees(toy.annotated(table(spark, d, "documents")), most)
+def _nodes(spark, d):
+    """Pseudo-trees of every sentence."""
+    return T.pseudo_trees(toy.annotated(table(spark, d, "documents")))
 
 
 #: The pseudo-trees of the library as CTEs.
-NODES = f"""{WITH}, s0 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_ix) AS sn FROM ann WHERE kind <> 'P'),
-s1 AS (SELECT *, row_number() OVER w AS ix, CASE WHEN kind = 'PUNCTUATION' THEN 'p' WHEN cat = 'so' THEN 'VP' WHEN cat = 'fs' THEN 'PP' ELSE 'NP' END AS grp FROM s0 WHERE sn <= 12 WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY tok_ix)),
+NODES = f"""{WITH}, s0 AS (SELECT * FROM ann WHERE kind <> 'P'),
+s1 AS (SELECT *, row_number() OVER w AS ix, CASE WHEN kind = 'PUNCTUATION' THEN 'p' WHEN cat = 'so' THEN 'VP' WHEN cat = 'fs' THEN 'PP' ELSE 'NP' END AS grp FROM s0 WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY tok_ix)),
 s2 AS (SELECT *, CASE WHEN lag(grp) OVER w = grp AND grp <> 'p' THEN 0 ELSE 1 END AS fresh FROM s1 WINDOW w AS (PARTITION BY doc_id, sent_ix ORDER BY tok_ix)),
 s3 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, sent_ix ORDER BY tok_ix) AS g, doc_id || ':' || sent_ix AS tree FROM s2),
 every AS (
@@ -69,7 +69,7 @@ def _(spark, d):
     return T.descendants(_nodes(spark, d)).groupBy("a_tag", "tag").agg(F.count("*").alias("n"))
 
 
-@query("tree_descendants_cut", f"{NODES} SELECT c.tree, count(*) AS n FROM nodes c JOIN nodes a ON c.tree = a.tree AND a.tag = 'S-MAIN' AND a.pre < c.pre AND c.post < a.post WHERE c.tag <> 'VP' AND NOT EXISTS (SELECT 1 FROM nodes w WHERE w.tree = c.tree AND w.tag = 'VP' AND w.pre < c.pre AND c.post < w.post) GROUP BY c.tree")
+@query("tree_descendants_cut", f"{NODES} SELECT c.tree, count(*) AS n FROM nodes c LEFT JOIN nodes p ON p.tree = c.tree AND p.node = c.parent WHERE c.parent IS NOT NULL AND c.tag <> 'VP' AND p.tag <> 'VP' GROUP BY c.tree")
 def _(spark, d):
     return T.descendants_cut(_nodes(spark, d), "VP").where("a_tag = 'S-MAIN'").groupBy("tree").agg(F.count("*").alias("n"))
 
@@ -107,7 +107,7 @@ def _(spark, d):
     return T.substituted(_nodes(spark, d), "NP", "<np>")
 
 
-_EVENTS = "{} , ev AS (SELECT tree, pre AS pl, 0 AS k, CASE WHEN text IS NOT NULL THEN {} ELSE {} END AS x FROM nodes UNION ALL SELECT tree, post + depth, 100 - depth, {} FROM nodes WHERE text IS NULL) SELECT tree, string_agg(x, ' ' ORDER BY pl, k) AS {} FROM ev GROUP BY tree"
+_EVENTS = "{} , ev AS (SELECT tree, pre AS pl, 0 AS k, CASE WHEN text IS NOT NULL THEN {} ELSE {} END AS x FROM nodes UNION ALL SELECT tree, post + depth, (1 << 30) - depth, {} FROM nodes WHERE text IS NULL) SELECT tree, string_agg(x, ' ' ORDER BY pl, k) AS {} FROM ev GROUP BY tree"
 
 
 @query("tree_flat", _EVENTS.format(NODES, "tag", "tag", "'/' || tag", "flat"))
@@ -137,21 +137,21 @@ def _(spark, d):
 
 # ---- patterns
 
-_HEAD = "SELECT a.tree, a.node FROM nodes a WHERE a.tag = 'S-MAIN' AND "
-_CHILD = "EXISTS (SELECT 1 FROM nodes c WHERE c.tree = a.tree AND c.parent = a.node AND {})"
+#: Lists of children as one row each: which tags they hold, and at which place.
+_LISTS = "SELECT a.tree, a.node FROM nodes a JOIN (SELECT tree, parent FROM nodes WHERE parent IS NOT NULL GROUP BY tree, parent HAVING {}) l ON l.tree = a.tree AND l.parent = a.node WHERE a.tag = 'S-MAIN'"
 
 
-@query("pattern_child_set", f"{NODES} {_HEAD}{_CHILD.format(chr(39).join(['c.tag = ', 'VP', '']))} AND {_CHILD.format(chr(39).join(['c.tag = ', 'PP', '']))}")
+@query("pattern_child_set", f"{NODES} {_LISTS.format("bool_or(tag = 'VP') AND bool_or(tag = 'PP')")}")
 def _(spark, d):
     return M.match(_nodes(spark, d), "S-MAIN > { VP PP }")
 
 
-@query("pattern_desc_set", f"{NODES} SELECT a.tree, a.node FROM nodes a WHERE a.tag = 'S-MAIN' AND EXISTS (SELECT 1 FROM nodes g WHERE g.tree = a.tree AND g.parent = a.node AND EXISTS (SELECT 1 FROM nodes c WHERE c.tree = g.tree AND c.parent = g.node AND c.tag = 'no') AND EXISTS (SELECT 1 FROM nodes c WHERE c.tree = g.tree AND c.parent = g.node AND c.tag = 'lo'))")
+@query("pattern_desc_set", f"{NODES} SELECT tree, 'S' AS node FROM (SELECT DISTINCT tree FROM (SELECT tree, parent FROM nodes WHERE parent IS NOT NULL GROUP BY tree, parent HAVING bool_or(text IS NOT NULL AND tag = 'no') AND bool_or(text IS NOT NULL AND tag = 'lo')))")
 def _(spark, d):
     return M.match(_nodes(spark, d), "S-MAIN >>> { no lo }")
 
 
-@query("pattern_seq", f"{NODES} {_HEAD}{_CHILD.format('c.sib_ix = 1 AND c.tag = chr(78) || chr(80)')} AND {_CHILD.format('c.sib_ix = 2 AND c.tag = chr(86) || chr(80)')}")
+@query("pattern_seq", f"{NODES} {_LISTS.format("bool_or(sib_ix = 1 AND tag = 'NP') AND bool_or(sib_ix = 2 AND tag = 'VP')")}")
 def _(spark, d):
     return M.match(_nodes(spark, d), "S-MAIN > [ NP VP ]")
 
@@ -173,7 +173,7 @@ def _(spark, d):
 
 @query("pattern_repeat")
 def _(spark, d):
-    return M.interpret(_nodes(spark, d, None), "S-MAIN > [ NP+ VP .* p $ ]")
+    return M.interpret(_nodes(spark, d), "S-MAIN > [ NP+ VP .* p $ ]")
 
 
 # ---- grammar
@@ -220,11 +220,12 @@ def _(spark, d):
     return _parsed(spark, d).select("doc_id", "sent_ix", "n_tokens", "combinations", "score", "err_index", "error")
 
 
-#: Sentences of the shapes that a pattern over category letters can tell: gr? lo* no, so, and one verb with objects.
+#: Whether each sentence that is short enough for the parser (MAX_TOKENS) has a parse, told by a pattern over category
+#: letters: gr? lo* no, so, and one verb with objects.
 @query("parse_short", f"""{WITH}, w AS (SELECT doc_id, sent_ix, count(*) AS n, string_agg(CASE cat WHEN 'gr' THEN 'g' WHEN 'lo' THEN 'l' WHEN 'no' THEN 'n' WHEN 'so' THEN 's' WHEN 'fs' THEN 'f' WHEN 'ao' THEN 'a' ELSE 'x' END, '' ORDER BY tok_ix) AS shape FROM ann WHERE kind NOT IN ('P', 'PUNCTUATION') GROUP BY doc_id, sent_ix)
-SELECT doc_id, sent_ix, regexp_full_match(shape, '(g?l*n(fg?l*n)*)|((g?l*n(fg?l*n)*)?s(g?l*n)?(fg?l*n)*a?)') AS parsed FROM w WHERE n <= 6""")
+SELECT doc_id, sent_ix, regexp_full_match(shape, '(g?l*n(fg?l*n)*)|((g?l*n(fg?l*n)*)?s(g?l*n)?(fg?l*n)*a?)') AS parsed FROM w WHERE n <= 90""")
 def _(spark, d):
-    return _parsed(spark, d).where("n_tokens <= 6").select("doc_id", "sent_ix", (F.col("combinations") > 0).alias("parsed"))
+    return _parsed(spark, d).where("combinations IS NOT NULL").select("doc_id", "sent_ix", (F.col("combinations") > 0).alias("parsed"))
 
 
 @query("job_stats")
