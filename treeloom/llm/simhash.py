@@ -300,7 +300,7 @@ def _propose(crowded: DataFrame, texts: DataFrame, roots: DataFrame, least: int,
 
 
 def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """Verified pairs (a, b) that connect the alike texts; see similar_groups()."""
+    """(node, root) of the texts that verified pairs connect; see similar_groups()."""
     least = max(1, int(HASHES * (similarity - ERRORS * (similarity * (1 - similarity) / HASHES) ** 0.5)))
     banded = texts.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
@@ -316,7 +316,7 @@ def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: in
         pairs = pairs.union(near).distinct() if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
-            return good if good is not None else pairs
+            return roots
         fresh = keep(_verify(pairs, texts, docs, words, similarity), "verified")
         own = fresh.where("good").select("a", "b")
         tested, good = (fresh.select("a", "b"), own) if tested is None else (tested.union(fresh.select("a", "b")), good.union(own))
@@ -330,7 +330,7 @@ def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: in
         cut = crowded.where(F.col("n") > block).join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy("key").agg(F.count_distinct(F.coalesce("root", "id")).alias("r")).where("r > 1").select("key")
         again = keep(failed.union(cut).distinct(), "again")
         if again.isEmpty():
-            return good
+            return roots
         crowded = keep(crowded.join(small(again), "key", "left_semi"), "crowded")
         forests *= 8
 
@@ -375,8 +375,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     near = near.join(first, "a").join(second, "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     same = joined(texts.select("id", "fp"), of_fp.select("fp", F.col("id").alias("head")), "fp", of_fp.where(F.col("n") >= HOT_ROWS).select("fp", "n")).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     near = keep(near.union(same).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "near")
-    good = _similar_links(texts, docs, near, words, similarity, block)
-    of_text = _heads(texts.select("id", "least"), components(good), "id", F.col("least"))
+    roots = _similar_links(texts, docs, near, words, similarity, block)
+    of_text = _heads(texts.select("id", "least"), roots, "id", F.col("least"))
     out = joined(rows.select("doc_id", "id"), of_text, "id", texts.where(F.col("n") >= HOT_ROWS).select("id", "n"))
     return out.select("doc_id", "id", F.col("head.doc_id").alias("component_id"), "head")
 
