@@ -9,7 +9,8 @@ agree, and so on for the parts that remain, which bounds a bucket by its free bi
 fingerprint and are linked once.
 
 similar_groups() serves the pipeline: five-word shingles, linked from a Jaccard similarity of 0.8 on. Three bits reach
-similarities of about 0.95, so bands of min-hashes propose more pairs; see there.
+similarities of about 0.95, so bands of min-hashes propose more pairs; see there. Its fingerprints and min-hashes share
+one hash of each distinct shingle.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like any other; a text of fewer
 words than a shingle is one shingle; null doc_ids never become a component's id while another is there; repeated
@@ -49,7 +50,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(tokens))
     digest, view = xxhash.xxh64_intdigest, memoryview(line)
-    hashes = np.array([digest(view[a:b], SEED) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64)
+    return majority(np.array([digest(view[a:b], SEED) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -193,9 +198,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([digest(view[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())] or [0], dtype=np.uint64))
 
 
-def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
-    """A hash for each band and a byte for each min-hash of the text's distinct shingles."""
-    own = shingles(text, words).astype(np.uint32)
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """A hash for each band and a byte for each min-hash of a text's distinct shingles."""
+    own = hashes.astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(own), 1024):
         mixed = own[at : at + 1024, None] * _FACTORS
@@ -207,7 +212,7 @@ def sketch(text: str | None, words: int) -> tuple[list[int], bytes]:
 def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        made = {t: (fingerprint(t, words), *sketch(t, words)) for t in set(texts)}
+        made = {t: (majority(own), *sketch(own)) for t in set(texts) for own in [shingles(t, words)]}
         rows = [made[t] for t in texts]
         fps = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "id", "fp", "bands", "sketch"])
