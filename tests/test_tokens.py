@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeloom.functions import features as X
+from treeloom.functions import kinds as N
 from treeloom.functions import text as T
 from treeloom.operators import tokens as K
 from treeloom.sources import toy
@@ -122,3 +123,34 @@ def test_toy_lexicon_is_a_function_of_the_form(spark):
     rows = toy.annotated(table(spark, "The cat of THE day"))
     got = {r.lw: r.cat for r in rows.collect()}
     assert got["the"] == "gr" and got["of"] == "fs"
+
+
+def test_typed_tokens(spark):
+    found = texts(N.tokens(table(spark, "a.b@x.is http://x.is/a?b=1 www.x.is #tag @me 010203-4567 2024-01-31 31/1 555-1234 12:30 3,5% $10 5km 3rd 4b 12xy 1999 7. Já")), "kind")
+    assert found == [("a.b@x.is", "EMAIL"), ("http://x.is/a?b=1", "URL"), ("www.x.is", "DOMAIN"), ("#tag", "HASHTAG"), ("@me", "USERNAME"), ("010203-4567", "SSN"), ("2024-01-31", "DATEABS"), ("31/1", "DATEREL"), ("555-1234", "TELNO"), ("12:30", "TIME"), ("3,5%", "PERCENT"), ("$10", "AMOUNT"), ("5km", "MEASUREMENT"), ("3rd", "ORDINAL"), ("4b", "NUMWLETTER"), ("12xy", "SERIALNUMBER"), ("1999", "YEAR"), ("7.", "NUMBER"), ("Já", "WORD")]
+
+
+def test_ordinals_need_a_lower_case_word(spark):
+    rows = K.ordinals(T.tokens(table(spark, "the 3. day 4. End 5.")))
+    assert [t for t in texts(rows, "kind") if t[1] in ("ORDINAL", "NUMBER")] == [("3.", "ORDINAL"), ("4.", "NUMBER"), ("5.", "NUMBER")]
+
+
+def test_abbreviated_amounts(spark):
+    rows = K.abbreviated_amounts(K.numbers(T.tokens(table(spark, "5 m.kr. og 2 kr. 7 x", "3 kr"))))
+    assert texts(rows.where("value IS NOT NULL"), "kind", "value", "iso") == [("5 m.kr.", "AMOUNT", 5e6, "ISK"), ("2 kr.", "AMOUNT", 2.0, "ISK"), ("7", "NUMBER", 7.0, None), ("3 kr", "AMOUNT", 3.0, "ISK")]
+
+
+def test_first_sentences(spark):
+    rows = K.first_sentences(T.tokens(table(spark, "\n\nA b. C", "", None)))
+    assert texts(rows) == [("A",), ("b",), (".",)]
+
+
+def test_lemma_value(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'Hesta', array(named_struct('lemma', 'Hestur', 'cat', 'kk'))), (2, 'Blue', NULL), (3, 'hesta', array(named_struct('lemma', 'hestur', 'cat', 'so'))) t(i, txt, meanings)")
+    got = df.orderBy("i").select(K.lemma_value(F.col("meanings"), F.col("txt"), {"hestur": "horse", "blue": "colour"}, lambda m: m["cat"] == "kk").alias("v"))
+    assert [r.v for r in got.collect()] == ["horse", "colour", None]
+
+
+def test_order_of_a_locale(spark):
+    rows = spark.createDataFrame([(w,) for w in ("þ", "z", "á", "b", "a", "ö", "æ")], "w string")
+    assert [r.w for r in rows.orderBy(K.in_order_of(F.col("w"))).collect()] == ["a", "á", "b", "z", "þ", "æ", "ö"]

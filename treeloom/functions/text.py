@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ TOKEN = r"(\p{L}+|[0-9][0-9.,]*|\n|\S)"
 ENDS = (".", "!", "?", "\n")
 
 
-def token_array(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(1))
+def token_array(text: Column, token: str = TOKEN) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(token), F.lit(1))
 
 
 def kind(token: Column) -> Column:
@@ -25,14 +27,14 @@ def kind(token: Column) -> Column:
     )
 
 
-def tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tok_ix, txt, kind, sent_ix.
+def tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text", token: str = TOKEN, kind: Callable[[Column], Column] = kind) -> DataFrame:
+    """doc_id, tok_ix, txt, kind, sent_ix, by the pattern of a token and the rule for its kind.
 
     Documents are dealt by id before they are split, so the running sentence number and everything later that is
     partitioned by document needs no further shuffle: one row a document moves, not one a token.
     """
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")).repartition("doc_id")
-    rows = rows.select("doc_id", F.posexplode(token_array(F.col("text"))).alias("tok_ix", "txt")).withColumn("kind", kind(F.col("txt")))
+    rows = rows.select("doc_id", F.posexplode(token_array(F.col("text"), token)).alias("tok_ix", "txt")).withColumn("kind", kind(F.col("txt")))
     before = Window.partitionBy("doc_id").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.col("txt").isin(*ENDS).cast("int")
     return rows.withColumn("sent_ix", F.coalesce(F.sum(ended).over(before), F.lit(0)).cast("int"))

@@ -67,6 +67,12 @@ def sentences(tokens: DataFrame) -> DataFrame:
     return inside.groupBy("doc_id", "sent_ix").agg(F.min("tok_ix").alias("first"), F.max("tok_ix").alias("last"), F.count("*").alias("n_tokens"), joined.alias("text"))
 
 
+def first_sentences(tokens: DataFrame) -> DataFrame:
+    """The tokens of each document's first sentence that has any; no rows for a document without tokens."""
+    least = F.min(F.when(F.col("kind") != "P", F.col("sent_ix"))).over(Window.partitionBy("doc_id"))
+    return tokens.withColumn("_least", least).where("kind <> 'P' AND sent_ix = _least").drop("_least")
+
+
 def resplit(tokens: DataFrame) -> DataFrame:
     """A full stop after a single letter does not end a sentence if a lower-case word follows; sent_ix counts anew."""
     before, after = F.lag("txt").over(by_doc()), F.lead("txt").over(by_doc())
@@ -184,6 +190,45 @@ def amounts(rows: DataFrame) -> DataFrame:
     return made.withColumn("kind", F.col("_kind")).withColumn("txt", F.col("_text")).drop("_size", "_kind", "_text", "_taken")
 
 
+# Abbreviations of amounts in ISK and their factors.
+AMOUNT_ABBREVIATIONS = {
+    "kr.": 1,
+    "kr": 1,
+    "þ.kr.": 10**3,
+    "þ.kr": 10**3,
+    "þús.kr.": 10**3,
+    "þús.kr": 10**3,
+    "m.kr.": 10**6,
+    "m.kr": 10**6,
+    "mkr.": 10**6,
+    "mkr": 10**6,
+    "ma.kr.": 10**9,
+    "ma.kr": 10**9,
+    "mrð.kr.": 10**9,
+    "mrð.kr": 10**9,
+}
+
+
+def abbreviated_amounts(rows: DataFrame, factors: dict[str, int] = AMOUNT_ABBREVIATIONS, iso: str = "ISK") -> DataFrame:
+    """NUMBER (with value) + abbreviation -> AMOUNT; the longest abbreviation of at most four tokens is taken in."""
+    nexts = [F.lead("txt", k).over(by_doc()) for k in range(1, 5)]
+    number = F.col("kind").isin("NUMBER", "YEAR") & F.col("value").isNotNull()
+    found = F.coalesce(*[F.when(number & _lookup(factors, F.concat(*nexts[:k])).isNotNull(), F.struct(F.lit(k + 1).alias("size"), F.concat(*nexts[:k]).alias("short"))) for k in (4, 3, 2, 1)])
+    made = rows.withColumn("_found", found).withColumn("_size", F.coalesce("_found.size", F.lit(1)))
+    taken = F.greatest(*[F.coalesce(F.lag("_size", k).over(by_doc()) - k, F.lit(0)) for k in range(1, 5)]) > 0
+    made = made.withColumn("_taken", taken).where("not _taken")
+    short = F.col("_found.short")
+    out = {"value": F.coalesce(F.col("value") * _lookup(factors, short), F.col("value")), "kind": F.when(short.isNotNull(), "AMOUNT").otherwise(F.col("kind")), "txt": F.concat_ws(" ", "txt", short)}
+    out["iso"] = F.when(short.isNotNull(), iso).otherwise(F.col("iso") if "iso" in rows.columns else F.lit(None))
+    return made.withColumns(out).drop("_found", "_size", "_taken")
+
+
+def ordinals(tokens: DataFrame) -> DataFrame:
+    """A whole number with a full stop before a lower-case word is an ORDINAL."""
+    fits = F.col("kind").isin("NUMBER", "YEAR") & F.col("txt").rlike(r"^[0-9]+\.$") & F.lead("txt").over(by_doc()).rlike(r"^\p{Ll}")
+    return tokens.withColumn("kind", F.when(F.coalesce(fits, F.lit(False)), "ORDINAL").otherwise(F.col("kind")))
+
+
 def currencies(tokens: DataFrame) -> DataFrame:
     """Pairs of a nationality and a currency word: iso, and the cases that both may stand in."""
     here, there = F.lower("txt"), F.lower(F.lead("txt").over(by_doc()))
@@ -358,6 +403,18 @@ def lemmatise(tokens: DataFrame, key: Callable[[Column, Column], Column] | None
     return tokens.withColumn("lemmas", F.array_sort(found, key) if key else found)
 
 
+def lemma_value(meanings: Column, txt: Column, values: dict, fits: Callable[[Column], Column] | None = None) -> Column:
+    """The value of a word's first lemma that a dict of lower-case lemmas has (of the meanings that fit), else of its form."""
+    own = lambda m: _lookup(values, F.lower(m["lemma"]))
+    found = F.filter(meanings, lambda m: own(m).isNotNull() & (fits(m) if fits else F.lit(True)))
+    return F.coalesce(own(F.get(found, F.lit(0))), _lookup(values, F.lower(txt)))
+
+
+def in_order_of(column: Column, locale: str = "IS") -> Column:
+    """A string column that compares as the locale's collation orders it."""
+    return F.collate(column, locale)
+
+
 def job_statistics(parsed: DataFrame) -> DataFrame:
     """One row of statistics from sentences (n_tokens, combinations; null combinations: not parsed).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treeloom.functions import features as X
+from treeloom.functions import kinds as N
 from treeloom.functions import text as T
 from treeloom.operators import tokens as K
 from treeloom.plans.portable import duck_tokens
@@ -59,6 +60,46 @@ def _(spark, d):
     return rows.groupBy(T.kind(F.col("txt")).alias("kind")).agg(F.sum("count").alias("n"), F.count("*").alias("forms"))
 
 
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(txt, '{p}') THEN '{k}'" for k, p in N.PATTERNS.items()) + """ WHEN regexp_matches(txt, '^\\p{L}') THEN 'WORD' WHEN regexp_full_match(txt, '[0-9]{4}') AND try_cast(txt AS INT) BETWEEN 874 AND 2199 THEN 'YEAR'
+ WHEN regexp_matches(txt, '^[0-9]') THEN 'NUMBER' WHEN txt = chr(10) THEN 'P' ELSE 'PUNCTUATION' END"""
+#: Texts that hold tokens of the rarer kinds, from the orders.
+MARKED = """SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || ' of ' || o_orderdate::DATE || ' at ' || o_orderkey % 24 || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ' by clerk' || o_custkey || '@mail.example.org, see https://example.org/o?id=' || o_orderkey || ' or www.example.com #order @clerk' || o_custkey % 9
+ || ' ' || o_orderkey % 100 || '% of $' || o_orderkey || ' and ' || o_orderkey % 50 || 'km, the ' || o_orderkey % 10 || 'th, 555-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' ' || o_orderkey % 31 || '/' || o_orderkey % 12 || ' 4b A' || o_orderkey || ' 12xy3.' AS text FROM orders"""
+
+
+def _marked(spark, d):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    two = lambda n, k: F.lpad((o % n).cast("string"), k, "0")
+    parts = ["Order ", o, " of ", F.col("o_orderdate").cast("date"), " at ", o % 24, ":", two(60, 2), " by clerk", c, "@mail.example.org, see https://example.org/o?id=", o, " or www.example.com #order @clerk", c % 9]
+    parts += [" ", o % 100, "% of $", o, " and ", o % 50, "km, the ", o % 10, "th, 555-", two(10000, 4), " ", o % 31, "/", o % 12, " 4b A", o, " 12xy3."]
+    return table(spark, d, "orders").select(o.alias("doc_id"), F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("text"))
+
+
+@query("typed_kinds", f"SELECT {_KIND} AS kind, count(*) AS n, count(DISTINCT txt) AS forms FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{N.TOKEN}', 1)) AS txt FROM documents) GROUP BY 1")
+def _(spark, d):
+    rows = _docs(spark, d).select(F.explode(T.token_array(F.col("text"), N.TOKEN)).alias("txt")).groupBy("txt").count()
+    return rows.groupBy(N.kind(F.col("txt")).alias("kind")).agg(F.sum("count").alias("n"), F.count("*").alias("forms"))
+
+
+@query("typed_tokens", f"SELECT doc_id, tok_ix, txt, {_KIND} AS kind FROM (SELECT doc_id, unnest(t) AS txt, (generate_subscripts(t, 1) - 1)::INT AS tok_ix FROM (SELECT doc_id, regexp_extract_all(text, '{N.TOKEN}', 1) AS t FROM ({MARKED})))")
+def _(spark, d):
+    return N.tokens(_marked(spark, d)).select("doc_id", "tok_ix", "txt", "kind")
+
+
+@query("first_sentence", f"{WITH} SELECT doc_id, tok_ix, txt FROM (SELECT *, min(sent_ix) OVER (PARTITION BY doc_id) AS s FROM tok WHERE kind <> 'P') WHERE sent_ix = s")
+def _(spark, d):
+    return K.first_sentences(T.tokens(_docs(spark, d))).select("doc_id", "tok_ix", "txt")
+
+
+#: The value follows from the order itself: the SQL does not read the text.
+@query("amount_abbrev", "SELECT o_orderkey AS doc_id, CAST((o_orderkey % 90 + 1) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE 1000000000 END AS DOUBLE) AS value, 'ISK' AS iso, (o_orderkey % 90 + 1) || ' ' || CASE o_orderkey % 4 WHEN 0 THEN 'kr' WHEN 1 THEN 'þ.kr.' WHEN 2 THEN 'm.kr' ELSE 'ma.kr.' END AS txt FROM orders")
+def _(spark, d):
+    o = F.col("o_orderkey")
+    short = F.element_at(F.array(*map(F.lit, ("kr", "þ.kr.", "m.kr", "ma.kr."))), (o % 4 + 1).cast("int"))
+    docs = table(spark, d, "orders").select(o.alias("doc_id"), F.concat(F.lit("Cost "), (o % 90 + 1).cast("string"), F.lit(" "), short, F.lit(" and more")).alias("text"))
+    return K.abbreviated_amounts(K.numbers(T.tokens(docs))).where("kind = 'AMOUNT'").select("doc_id", "value", "iso", "txt")
+
+
 @query("paragraph_split", "SELECT doc_id, (i - 1)::INT AS para_ix, p[i] AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents) WHERE trim(p[i]) <> ''")
 def _(spark, d):
     return K.paragraphs(_docs(spark, d))
