@@ -9,10 +9,10 @@ from treeloom.llm.common import drop_kept, keep
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the least of the node and its neighbours."""
+    """Hang every larger neighbour of a node on the least of the node and its neighbours; edges may come repeatedly."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame) -> DataFrame:

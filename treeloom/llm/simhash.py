@@ -313,7 +313,7 @@ def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: in
     sizes = keep(sizes.groupBy("n", "head", "members").agg(F.min("key").alias("key")).drop("members"), "buckets")
     crowded = keep(banded.join(sizes, "key"), "crowded")
     roots = texts.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-    good = tested = None
+    tested = None
     forests = 1
     while True:
         found = keep(_propose(crowded, texts, roots, least, forests, block), "proposed")
@@ -324,9 +324,9 @@ def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: in
             return roots
         fresh = keep(_verify(pairs, texts, docs, words, similarity), "verified")
         own = fresh.where("good").select("a", "b")
-        tested, good = (fresh.select("a", "b"), own) if tested is None else (tested.union(fresh.select("a", "b")), good.union(own))
-        if not own.isEmpty():
-            roots = keep(components(good), "roots")
+        tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
+        if not own.isEmpty():  # the roots hold what earlier pairs connect
+            roots = keep(components(own.union(roots)), "roots")
         # what is left: buckets of which a pair failed, and large ones whose blocks have not all met; the small ones
         # have had all their pairs verified in the second round
         failed = found.join(fresh.where("not good"), ["a", "b"]).select("key")
