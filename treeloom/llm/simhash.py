@@ -21,6 +21,8 @@ documents are returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -173,18 +175,16 @@ def _heads(items: DataFrame, linked: DataFrame, key: str, least: Column) -> Data
 
 # ---- texts alike by their shingles
 
-#: Min-hashes of a sketch; the first BANDS * DEEP of them make the bands. At a similarity of 0.8 a pair shares a band
-#: with a chance of 1 - (1 - 0.8^5)^16 = 0.998.
-HASHES, BANDS, DEEP = 128, 16, 5
-#: Standard errors below the similarity down to which a pair's sketches may agree and the pair still be verified.
-ERRORS = 3.5
+#: Bands of a text, each of DEEP min-hashes. At a similarity of 0.8 a pair shares a band with a chance of
+#: 1 - (1 - 0.8^5)^16 = 0.998.
+BANDS, DEEP = 16, 5
+#: Shingle hashes of a block of a bucket; a task holds two blocks at once.
+BLOCK_HASHES = 4_000_000
 #: Members of buckets that a task compares, about.
 DEALT = 2_000
-#: Members up to which a bucket whose first forest was broken has all its pairs verified at once.
-FEW = 256
 _RANDOM = np.random.RandomState(77)
-_FACTORS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RANDOM.randint(0, 1 << 31, HASHES).astype(np.uint32)
+_FACTORS = _RANDOM.randint(0, 1 << 31, BANDS * DEEP).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RANDOM.randint(0, 1 << 31, BANDS * DEEP).astype(np.uint32)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -198,24 +198,24 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([digest(view[a:b]) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())] or [0], dtype=np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """A hash for each band and a byte for each min-hash of a text's distinct shingles."""
+def bands(hashes: np.ndarray) -> list[int]:
+    """A hash for each band of a text's distinct shingles."""
     own = hashes.astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(own), 1024):
         mixed = own[at : at + 1024, None] * _FACTORS
         mixed ^= mixed >> np.uint32(15)
         least = np.minimum(least, (mixed * np.uint32(0x846CA68B) + _SHIFTS).min(0))
-    return [xxhash.xxh3_64_intdigest(least[b * DEEP : (b + 1) * DEEP].tobytes(), b) - (1 << 63) for b in range(BANDS)], (least >> np.uint32(24)).astype(np.uint8).tobytes()
+    return [xxhash.xxh3_64_intdigest(least[b * DEEP : (b + 1) * DEEP].tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        made = {t: (majority(own), *sketch(own)) for t in set(texts) for own in [shingles(t, words)]}
+        made = {t: (majority(own), bands(own), len(own)) for t in set(texts) for own in [shingles(t, words)]}
         rows = [made[t] for t in texts]
         fps = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.binary())], ["doc_id", "id", "fp", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), fps, pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "id", "fp", "bands", "size"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -231,128 +231,114 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
             both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= similarity * max(len(a), len(b)) else 0
             good.append(both >= similarity * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def best_links(ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray, least: int, forests: int) -> list[tuple[int, int]]:
-    """Pairs of one bucket to be verified: spanning forests of the most alike members, by equal min-hashes.
+def alike(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the members whose shingle sets have the similarity, found by breadth-first search.
 
-    Members of one root are connected already. Each forest is a maximal one over pairs that agree in `least` bytes at
-    least; the next one is made without the pairs of those before. If each pair that is alike is connected by pairs
-    at least as alike, the first forest has all that is needed; where verification fails, the later ones tell the rest
-(of a bucket of at most FEW members, all pairs).
+    Members of one root are connected already and need no edge. Each member is compared once, with those not reached
+    yet: a dense bucket takes time in proportion to its shingles, one without any link that times its members.
     """
-    m = len(ids)
-    alike = np.empty((m, m), np.uint8)
-    for i in range(m):
-        alike[i] = (sketches == sketches[i]).sum(1)
-    alike[roots[:, None] == roots[None, :]] = 255
-    np.fill_diagonal(alike, 0)
-    if forests > 1 and m <= FEW:
-        at = np.argwhere(np.triu((alike >= least) & (alike < 255)))
-        return [(max(a, b), min(a, b)) for a, b in ids[at].tolist()]
-    out = []
-    for _ in range(forests):
-        best, via, left = np.zeros(m, np.int16), np.zeros(m, np.int64), np.ones(m, bool)
-        fresh = []
-        for _ in range(m):
-            at = int(np.argmax(np.where(left, best, -1)))
-            left[at] = False
-            if least <= best[at] < 255:
-                fresh.append((at, int(via[at])))
-            closer = left & (alike[at] > best)
-            best[closer], via[closer] = alike[at][closer], at
-        out += fresh
-        if not fresh:
-            break
-        for i, j in fresh:
-            alike[i, j] = alike[j, i] = 0
-    return [(max(a, b), min(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for i, j in out)]
+    m, sizes = len(ids), np.array([len(s) for s in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    column, owner = column[shared], np.repeat(np.arange(m), sizes)[shared]
+    own = np.split(column, np.searchsorted(owner, np.arange(1, m)))
+    marked, left, edges = np.zeros(len(often), bool), np.ones(m, bool), []
+    for start in range(m):
+        queue = [start] if left[start] else []
+        left[start] = False
+        while queue and left.any():
+            at = queue.pop()
+            marked[own[at]] = True
+            both = np.bincount(owner[marked[column]], minlength=m)
+            marked[own[at]] = False
+            same = left & (roots == roots[at])
+            near = left & ~same & (both >= similarity * (sizes + sizes[at] - both))
+            edges += [(int(max(ids[at], x)), int(min(ids[at], x))) for x in ids[near]]
+            if near.any() or same.any():
+                queue += np.flatnonzero(near | same).tolist()
+                left &= ~(near | same)
+                still = left[owner]
+                column, owner = column[still], owner[still]
+    return edges
 
 
-def _proposed(batches: Iterator[pa.RecordBatch], least: int, forests: int) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        keys, a, b = [], [], []
-        for key, members in zip(batch.column("key"), batch.column("members")):
-            rows = members.values
-            ids, roots = rows.field("id").to_numpy(), rows.field("root").to_numpy()
-            order = np.argsort(ids)
-            sketches = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
-            for x, y in best_links(ids[order], roots[order], sketches[order], least, forests):
-                keys.append(key.as_py())
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], ["key", "a", "b"])
-
-
-def _propose(crowded: DataFrame, texts: DataFrame, roots: DataFrame, least: int, forests: int, block: int) -> DataFrame:
-    """(key, a, b), b < a, from the buckets (key, id, n).
-
-    A bucket of more than `block` members is cut into blocks by a hash. At first (one forest) its least member is in
-    every block; later each pair of blocks is a bucket, so that every two members meet.
+        yield from zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "root", "shingles")))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Edges of the buckets, whose rows come one after the other; one bucket is held at a time."""
+    found = []
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+    for _, rows in groupby(_members(batches), itemgetter(0, 1, 2)):
+        ids, roots, sets = zip(*(r[3:] for r in rows))
+        if len(ids) > 1:
+            found += alike(np.array(ids, np.int64), np.array(roots, np.int64), [np.frombuffer(s, np.uint64) for s in sets], similarity)
+        if len(found) > 10_000:
+            yield pack()
+            found = []
+    if found:
+        yield pack()
+
+
+def _compare(crowded: DataFrame, sets: DataFrame, similarity: float, meet: bool) -> DataFrame:
+    """Verified edges (a, b) from the buckets (key, id, root, blocks, head).
+
+    A bucket of more than one block is cut by a hash. At first its least member is in every block, which connects a
+    group of copies in one pass; with `meet`, each pair of blocks is a bucket, so that every two members meet.
     """
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
-    if forests == 1:
-        places = F.when(F.col("id") == F.col("head"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("i"), i.alias("j")))).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if meet:
+        places = F.transform(F.filter(every, lambda i: i != own), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")))
     else:
-        places = F.when(blocks == 1, F.array(F.struct(own.alias("i"), own.alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: i != own), lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j"))))
-    rows = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rows = rows.select("key", "id", "root", F.explode(places).alias("place")).join(texts.select("id", "sketch"), "id")
-    rows = rows.repartition(1 + crowded.count() // DEALT, "key", "place")  # few rows may be much work
-    buckets = rows.groupBy("key", "place").agg(F.collect_list(F.struct("id", "root", "sketch")).alias("members")).where(F.size("members") > 1)
-    return arrow(buckets.select("key", "members"), lambda b: _proposed(b, least, forests), "key long, a long, b long")
+        places = F.when(F.col("id") == F.col("head"), F.transform(every, lambda i: F.struct(i.alias("i"), i.alias("j")))).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))
+    rows = crowded.select("key", "id", "root", F.explode(places).alias("place")).select("key", "place.i", "place.j", "id", "root").join(sets, "id")
+    rows = rows.repartition(1 + crowded.count() // DEALT, "key", "i", "j").sortWithinPartitions("key", "i", "j")  # few rows may be much work
+    return arrow(rows, lambda b: _compared(b, similarity), "a long, b long")
 
 
 def _similar_links(texts: DataFrame, docs: DataFrame, near: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
     """(node, root) of the texts that verified pairs connect; see similar_groups()."""
-    least = max(1, int(HASHES * (similarity - ERRORS * (similarity * (1 - similarity) / HASHES) ** 0.5)))
-    banded = texts.select("id", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
+    banded = texts.select("id", "size", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("members")).where("n > 1")
     # copies share most of their bands: of buckets with the same members one is enough
-    sizes = keep(sizes.groupBy("n", "head", "members").agg(F.min("key").alias("key")).drop("members"), "buckets")
-    crowded = keep(banded.join(sizes, "key"), "crowded")
-    roots = texts.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-    tested = None
-    forests = 1
-    while True:
-        found = keep(_propose(crowded, texts, roots, least, forests, block), "proposed")
-        pairs = found.select("a", "b").distinct()
-        pairs = pairs.union(near).distinct() if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            return roots
-        fresh = keep(_verify(pairs, texts, docs, words, similarity), "verified")
-        own = fresh.where("good").select("a", "b")
-        tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
-        if not own.isEmpty():  # the roots hold what earlier pairs connect
-            roots = keep(components(own.union(roots)), "roots")
-        # what is left: buckets of which a pair failed, and large ones whose blocks have not all met; the small ones
-        # have had all their pairs verified in the second round
-        failed = found.join(fresh.where("not good"), ["a", "b"]).select("key")
-        if forests > 1:
-            failed = failed.join(crowded.where(F.col("n") > FEW), "key", "left_semi")
-        cut = crowded.where(F.col("n") > block).join(roots.withColumnRenamed("node", "id"), "id", "left").groupBy("key").agg(F.count_distinct(F.coalesce("root", "id")).alias("r")).where("r > 1").select("key")
-        again = keep(failed.union(cut).distinct(), "again")
-        if again.isEmpty():
-            return roots
-        crowded = keep(crowded.join(small(again), "key", "left_semi"), "crowded")
-        forests *= 8
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b, good): whether the shingle sets of each pair have the similarity. Only texts of pairs are split again, one row of each."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    buckets = buckets.groupBy("n", "size", "head", "members").agg(F.min("key").alias("key"))
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / F.lit(block)), F.ceil(F.col("size") / F.lit(BLOCK_HASHES)))).cast("int")
+    crowded = keep(banded.select("key", "id").join(buckets.select("key", "head", blocks.alias("blocks")), "key"), "crowded")
+    sets = keep(_sets(crowded.select("id").union(near.select("a")).union(near.select("b")).distinct(), texts, docs, words), "shingles")
+    found = _compare(crowded.withColumn("root", F.col("id")), sets, similarity, False)
+    pairs = keep(found.union(_verify(near.where("a <> b").distinct(), sets, similarity)), "pairs")
+    roots = keep(components(pairs), "roots")
+    cut = crowded.where("blocks > 1")
+    if cut.isEmpty():
+        return roots
+    # buckets whose blocks have not all been connected by their least member
+    cut = keep(cut.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "cut")
+    apart = small(cut.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    more = keep(_compare(cut.join(apart, "key", "left_semi"), sets, similarity, True), "pairs")
+    return roots if more.isEmpty() else keep(components(more.union(roots)), "roots")
+
+
+def _sets(ends: DataFrame, texts: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the texts `ends`. Only these are split again, one row of each."""
     ends = keep(texts.join(ends, "id").select(F.col("id").alias("_i"), F.col("least.doc_id").alias("_d")), "ends")
     bodies = docs.select(F.col("doc_id").alias("_doc"), text_id(F.col("text")).alias("id"), "text")
     bodies = bodies.join(small(ends), (F.col("id") == F.col("_i")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
     sets = arrow(bodies.select("id", "text"), lambda b: _shingled(b, words), "id long, shingles binary")
-    sets = keep(sets.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    out = pairs
+    return sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
     for end, name in (("a", "sa"), ("b", "sb")):
-        often = out.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
-        out = joined(out, sets.select(F.col("id").alias(end), F.col("shingles").alias(name)), end, often)
-    return arrow(out.select("a", "b", "sa", "sb"), lambda b: _verified(b, similarity), "a long, b long, good boolean")
+        often = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS)
+        pairs = joined(pairs, sets.select(F.col("id").alias(end), F.col("shingles").alias(name)), end, often)
+    return arrow(pairs.select("a", "b", "sa", "sb"), lambda b: _verified(b, similarity), "a long, b long")
 
 
 def text_id(text: Column) -> Column:
@@ -364,16 +350,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     """(doc_id, id, component_id, head) of every row; head is the struct (none, doc_id, id) of the row that stands for it.
 
     Texts are linked from a Jaccard similarity of their shingle sets on, each link verified by the sets themselves.
-    Pairs are proposed by the deletion-variant signatures (three bits of SimHash) and by bands of min-hashes. In a
-    bucket all members are compared by their sketches, but only spanning forests are verified: no pair that shares a
-    band is lost unless its sketches agree ERRORS standard errors less than its similarity. Where verification breaks
-    a forest, more of them follow until nothing is left to verify.
+    Pairs are proposed by the deletion-variant signatures (three bits of SimHash) and by bands of min-hashes. The
+    members of a band's bucket are compared by their shingle sets, so no pair that shares a band is lost; only the
+    edges of a spanning forest leave a bucket. A bucket of more than `block` members or BLOCK_HASHES shingles is cut
+    into blocks: each with the least member first, every two of them together where that leaves texts unconnected.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_id(F.col("text")).alias("id"), "text")
-    rows = keep(arrow(rows, lambda b: _sketched(b, words), f"doc_id {kind}, id long, fp long, bands array<long>, sketch binary"), "sketches")
+    rows = keep(arrow(rows, lambda b: _banded(b, words), f"doc_id {kind}, id long, fp long, bands array<long>, size long"), "banded")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")
-    texts = keep(rows.groupBy("id").agg(F.min(own).alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))), "texts")
+    texts = keep(rows.groupBy("id").agg(F.min(own).alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "bands", "size"))), "texts")
     of_fp = keep(texts.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct-fps")
     near = links(of_fp.select("fp"))
     first, second = of_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), of_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib"))
