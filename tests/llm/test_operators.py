@@ -350,6 +350,30 @@ def test_similar_groups_of_crowded_buckets(spark, block):
     assert same_parts(got, want)
 
 
+def test_alike_against_all_pairs():
+    """The links of a bucket connect what all its pairs connect, and no more."""
+    random.seed(4)
+    for _ in range(60):
+        m = random.randint(2, 30)
+        base = [random.getrandbits(64) for _ in range(30)]
+        sets = [np.unique(np.array(random.sample(base, random.randint(24, 30)) + [random.getrandbits(64) for _ in range(random.randint(0, 3))], dtype=np.uint64)) for _ in range(m)]
+        ids = np.arange(m) * 7 - 50
+        roots = np.array([random.choice(ids[: i + 1]) if random.random() < 0.2 else ids[i] for i in range(m)])
+
+        def parts(edges):
+            of = {int(i): int(i) for i in ids}
+            for a, b in edges:
+                x, y = of[int(a)], of[int(b)]
+                of = {k: x if v == y else v for k, v in of.items()}
+            return of
+
+        pairs = [(i, j) for i in range(m) for j in range(i)]
+        known = [(ids[i], ids[j]) for i, j in pairs if roots[i] == roots[j]]
+        close = [(ids[i], ids[j]) for i, j in pairs if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = simhash.alike(ids, roots, sets, 0.8)
+        assert same_parts(parts(known + got), parts(known + close)) and len(got) < m
+
+
 def test_representatives_go_by_row(spark):
     """Repeated and null ids lose no text: one row of each group stays, whatever its id."""
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
