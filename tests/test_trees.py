@@ -317,6 +317,27 @@ def test_inflection(spark):
         I.formatted(I.phrases(forms), "plural")
 
 
+def test_words_are_described_once(spark):
+    """The vocabulary is the lexicon of the tokens, and no condition on it goes below the count of words."""
+    from treeloom.plans import tree_queries
+
+    assert {tuple(r) for r in toy.vocabulary(odd(spark)).collect()} == {tuple(r) for r in toy.lexicon(toy.annotated(odd(spark))).collect()}
+    plan = tree_queries._stems(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "md5" in plan and "md5" not in plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+
+
+def test_forms_of_ambiguous_words(spark):
+    """The first lemma in order counts, the first of its forms that agree; other genders, doubled rows and gaps do no harm."""
+    cells = [("b", "no", "x", "nf", "et", "kk", False), ("b", "no", "xb", "þf", "et", "kk", False), ("a", "no", "x", "nf", "et", "kk", False), ("a", "no", "x", "þgf", "et", "kk", False), ("a", "no", "xz", "þf", "et", "kk", False)]
+    cells += [("a", "no", "xa", "þf", "et", "kk", False), ("a", "no", "w", "þf", "et", "hk", False), ("a", "no", "v", "ef", "et", None, False), ("a", "lo", "u", "ef", "et", "kk", False), (None, "no", "x", "nf", "et", "kk", False), ("a", "no", "q", "nf", "et", "kk", None)]
+    paradigm = spark.createDataFrame(cells * 2, "lemma string, cat string, form string, case string, number string, gender string, definite boolean")
+    words = spark.createDataFrame([("k", 0, "X", "no", "et", "kk", False), ("k", 1, "x", "ao", "et", "kk", False), ("k", 2, "new", "no", "et", "kk", False)], "key string, ix int, txt string, cat string, number string, gender string, definite boolean")
+    got = {r.ix: r for r in I.forms(words.where("ix > 0"), paradigm.where("lemma IS NOT NULL")).collect()}
+    assert (got[1].accusative, got[2].accusative, got[2].canonical) == ("x", "new", "new")
+    first = I.forms(words.where("ix = 0"), paradigm.where("lemma IS NOT NULL")).collect()
+    assert [(r.nominative, r.accusative, r.dative, r.genitive, r.indefinite) for r in first] == [("X", "Xa", "X", "V", "X")]
+
+
 # ---- catalogue
 
 

@@ -22,15 +22,17 @@ def forms(words: DataFrame, paradigm: DataFrame) -> DataFrame:
     Each word meets its lemma's rows once; of several forms the first in order is taken, and a word that the
     paradigm does not know, or of a category that is not declined, stays as it is.
     """
-    own = paradigm.select(F.col("form").alias("_form"), F.col("cat").alias("_cat"), F.col("lemma").alias("_lemma")).distinct()
+    own = paradigm.select(F.col("form").alias("_form"), F.col("cat").alias("_cat"), F.col("lemma").alias("_lemma"))
     low = F.lower("txt")
     found = words.join(own, (low == own["_form"]) & (words.cat == own["_cat"]), "left").withColumn("_n", F.row_number().over(Window.partitionBy("key", "ix").orderBy("_lemma"))).where("_n = 1").drop("_n", "_form", "_cat")
-    p = paradigm.select(F.col("lemma").alias("_lemma"), F.col("cat").alias("_c"), F.col("form").alias("f"), F.col("case").alias("c"), F.col("number").alias("n"), F.col("gender").alias("g"), F.col("definite").alias("d"))
+    # a lemma's forms are one row, so that words are neither multiplied nor grouped
+    cells = F.collect_list(F.struct(F.col("form").alias("f"), F.col("case").alias("c"), F.col("number").alias("n"), F.col("gender").alias("g"), F.col("definite").alias("d")))
+    p = paradigm.groupBy(F.col("lemma").alias("_lemma"), F.col("cat").alias("_c")).agg(cells.alias("_cells"))
     pairs = found.join(p, (found["_lemma"] == p["_lemma"]) & (found.cat == p["_c"]), "left").drop(p["_lemma"])
-    agrees = F.coalesce(F.col("g") == F.col("gender"), F.lit(True))
-    pick = lambda case, number, definite: F.min(F.when((F.col("c") == case) & (F.col("n") == number) & (F.col("d") == definite) & agrees, F.col("f")))
+    agrees = lambda x: F.coalesce(x["g"] == F.col("gender"), F.lit(True))
+    pick = lambda case, number, definite: F.array_min(F.transform(F.filter("_cells", lambda x: (x["c"] == case) & (x["n"] == number) & (x["d"] == definite) & agrees(x)), lambda x: x["f"]))
     wanted = {NAMES[c]: pick(c, F.col("number"), F.col("definite")) for c in CASES} | {"indefinite": pick("nf", F.col("number"), F.lit(False)), "canonical": pick("nf", F.lit("et"), F.lit(False))}
-    out = pairs.groupBy("key", "ix", "txt", "cat", "number", "gender", "definite").agg(*[v.alias(k) for k, v in wanted.items()])
+    out = pairs.select("key", "ix", "txt", "cat", "number", "gender", "definite", *[v.alias(k) for k, v in wanted.items()])
     for k in wanted:
         out = out.withColumn(k, F.when(F.col("cat").isin(*DECLINED), F.coalesce(like(F.col(k), F.col("txt")), F.col("txt"))).otherwise(F.col("txt")))
     return out
