@@ -1,10 +1,12 @@
 """Each corpus operator against a brute-force version, and on nulls, empty texts, ties, repeats and empty tables."""
 
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -165,6 +167,48 @@ def test_tokens_scan_reads_no_ids_for_metadata(spark, tmp_path):
     assert "ids" not in plan.split("ReadSchema")[1]
 
 
+def token_texts(seed, n=400):
+    """Random texts of letters, marks, apostrophes, digits, combining marks, other scripts and white space."""
+    r = random.Random(seed)
+    pieces = [*"abzABZéÉßÀÞþ×÷'!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~019½ \t\n\x0b\x1c ̸́ſKİıΣςǅЖ日🙂ﬁ", "the", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "Don't", "und&&&", "x<|", "..."]
+    return ["".join(r.choice(pieces) for _ in range(r.randrange(40))) for _ in range(n)] + [None, ""]
+
+
+@pytest.mark.parametrize("known", [32 << 20, 2_000])
+def test_tokens_encoder_equals_the_plain_tokenizer_over_batches(known, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", known, raising=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder = Tokenizer.from_file(path), tokens.Encoder(path)
+    for seed in range(6):
+        texts = token_texts(seed)
+        values, offsets = encoder(pa.array(texts, pa.string()))
+        for text, a, b in zip(texts, offsets, offsets[1:]):
+            assert values[a:b].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_tokens_encoder_asks_the_library_once_for_a_word(monkeypatch):
+    import public_tokenizers
+
+    encoder, asked = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda tokenizer, texts: asked.extend(w for t in texts for w in t.split()) or ids(tokenizer, texts))
+    encoder(pa.array(["Und und&&& und, don't &&&", "die und"]))
+    assert sorted(asked) == ["&&&", ",", "die", "don't", "und"]
+    encoder(pa.array(["Die UND, die&&&, don't", None]))
+    assert asked[5:] == ["&&&,"]
+
+
+def test_tokens_encoder_takes_no_threads_of_its_own(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 # ---- toxicity
 
 

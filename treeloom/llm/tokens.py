@@ -11,6 +11,8 @@ by text, an empty table gives an empty file set, and columns besides doc_id and
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,10 +30,13 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 1_000
 #: Bytes of texts encoded at once.
 BYTES = 12 << 20
-#: Marks that never join the piece of the letters before them.
-_MARKS = ".,;:!?"
+#: Bytes of words and their ids that an encoder remembers from batch to batch.
+KNOWN_BYTES = 32 << 20
+#: Marks whose runs never join the piece of the letters before them: those of ASCII but for the apostrophe.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters that the normaliser leaves alone but for their case, as classes of a pattern.
 _LOWER, _UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+_LETTERS = "".join(re.findall(f"[{_LOWER}{_UPPER}]", "".join(map(chr, range(256)))))
 
 FILE_OPTIONS = {
     "parquet.block.size": str(ROW_GROUP_BYTES),
@@ -44,10 +49,10 @@ FILE_OPTIONS = {
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct word of a batch once.
+    """Encodes batches of texts, each distinct word once; words of earlier batches are remembered, up to KNOWN_BYTES.
 
     White space always ends a piece of this tokenizer, so a text's ids are those of its words in a row, and letters
-    and a mark after them are pieces of their own. Words of plain letters skip the normaliser and the splitting
+    and a run of marks after them are pieces of their own. Words of plain letters skip the normaliser and the splitting
     pattern, which leave them as they are: many are encoded as one text and cut at the ids whose token carries the
     word-end suffix. All other words go through the whole tokenizer.
     """
@@ -62,49 +67,59 @@ class Encoder:
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = self._ids(self.whole, list(_MARKS))
+        self.words, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; few texts at a time, as the library keeps strings and offsets of every token."""
         return [np.array(e.ids, "<u4") for k in range(0, len(texts), 256) for e in tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
 
-    def _lists(self, words: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
-        """Id lists of distinct words and of the marks after them; for each word the place of its list."""
-        plain = pc.match_substring_regex(words, f"^[{_LOWER}]+$").to_numpy(zero_copy_only=False)
-        letters, others = words.filter(pa.array(plain)).to_pylist(), words.filter(pa.array(~plain)).to_pylist()
-        found = self._ids(self.plain, [" ".join(letters[k : k + 64]) for k in range(0, len(letters), 64)])
-        values = np.concatenate([np.zeros(0, "<u4"), *found])
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """For each distinct word the place of its ids in self.lists, where new words are added."""
+        found = pc.index_in(words, value_set=self.words)
+        places, known = found.fill_null(0).to_numpy(), len(self.words)
+        new = words.filter(found.is_null())
+        plain = pc.match_substring_regex(new, f"^[{_LOWER}]+$")
+        letters, others = new.filter(plain), new.filter(pc.invert(plain))
+        lines = pa.ListArray.from_arrays(pa.array([*range(0, len(letters), 64), len(letters)], pa.int32()), letters)
+        values = np.concatenate([np.zeros(0, "<u4"), *self._ids(self.plain, pc.binary_join(lines, " ").to_pylist())])
         ends = np.flatnonzero(self.ends[values]) + 1
         assert len(ends) == len(letters), "a word of plain letters is one piece"
-        rest = [*self._ids(self.whole, others), *self.marks]
-        offsets = np.concatenate([[0], ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in rest])]).astype(np.int32)
-        place = np.where(plain, np.cumsum(plain) - 1, len(letters) + np.cumsum(~plain) - 1)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([values, *rest]))), place
+        rest = self._ids(self.whole, others.to_pylist())
+        offsets = np.concatenate([[0], ends, len(values) + np.cumsum([len(x) for x in rest])]).astype(np.int32)
+        self.lists = pa.concat_arrays([self.lists, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([values, *rest])))])
+        self.words = pa.concat_arrays([self.words, letters, others])
+        plain = plain.to_numpy(zero_copy_only=False)
+        places = places.astype(np.int64)
+        places[found.is_null().to_numpy(zero_copy_only=False)] = known + np.where(plain, np.cumsum(plain) - 1, len(letters) + np.cumsum(~plain) - 1)
+        return places
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, without end ids, and the offsets of the texts in them."""
         per_text = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = per_text.flatten().dictionary_encode()
-        words = coded.dictionary
-        tail = pc.utf8_slice_codeunits(words, -1)
-        mark = pc.index_in(tail, pa.array(list(_MARKS))).fill_null(-1).to_numpy(zero_copy_only=False)
-        plain = pc.match_substring_regex(words, f"^[{_LOWER}{_UPPER}]+[{_MARKS}]?$").to_numpy(zero_copy_only=False)
-        marked = plain & (mark >= 0)
-        core = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words)
-        core = pc.if_else(pa.array(plain), pc.utf8_lower(core), core).dictionary_encode()
-        lists, place = self._lists(core.dictionary)
-        # each distinct word is one list or two: its own and its mark's
+        words = coded.dictionary.cast(pa.string())
+        core = pc.ascii_rtrim(words, _MARKS)
+        plain = pc.match_substring_regex(core, f"^[{_LOWER}{_UPPER}]+$")
+        marked = pc.and_(plain, pc.not_equal(core, words))
+        marks = pc.utf8_ltrim(words.filter(marked), _LETTERS)
+        marked = marked.to_numpy(zero_copy_only=False)
+        # each distinct word is one list or two: its own and its marks'
+        pieces = pa.concat_arrays([pc.if_else(plain, pc.utf8_lower(core), words), marks]).dictionary_encode()
+        places = self._places(pieces.dictionary)
         first = np.concatenate([[0], np.cumsum(1 + marked)])
         parts = np.empty(first[-1], np.int64)
-        parts[first[:-1]] = place[core.indices.to_numpy()]
-        parts[first[:-1][marked] + 1] = len(lists) - len(_MARKS) + mark[marked]
-        lengths = np.diff(lists.offsets.to_numpy())[parts]
+        of_piece = places[pieces.indices.to_numpy()]
+        parts[first[:-1]] = of_piece[: len(words)]
+        parts[first[:-1][marked] + 1] = of_piece[len(words) :]
+        lengths = np.diff(self.lists.offsets.to_numpy())[parts]
         at = np.concatenate([[0], np.cumsum(lengths)])[first].astype(np.int32)
-        of_word = pa.ListArray.from_arrays(pa.array(at), lists.take(pa.array(parts)).flatten())
+        of_word = pa.ListArray.from_arrays(pa.array(at), self.lists.take(pa.array(parts)).flatten())
         values = of_word.take(coded.indices).flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(np.diff(at)[coded.indices.to_numpy()])]).astype(np.int64)
         offsets = per_text.offsets.to_numpy().astype(np.int64)
+        if self.words.nbytes + self.lists.nbytes > KNOWN_BYTES:
+            self.words, self.lists = pieces.dictionary, self.lists.take(pa.array(places))
         return values, ends[offsets - offsets[0]]
 
 
@@ -112,7 +127,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker and file."""
+    """One encoder for each worker and file. A task has one core, so the library gets no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
